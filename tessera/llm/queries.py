@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, decontaminate, line_dedup, packing, quality, secrets, simhash
+from tessera.llm import chat, decontaminate, html_extract, licenses, line_dedup, lm_score, packing, quality, secrets, simhash
 from tessera.llm.common import table
 
 
@@ -14,6 +14,18 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.document_path())
+
+
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
@@ -45,12 +57,17 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_simhash, op5_chat_format, op6_secrets, op7_line_dedup, op8_packing, op9_decontaminate, op10_quality, pipeline)
+    own = (
+        op1_simhash, op2_licenses, op3_html, op4_lm_score, op5_chat_format, op6_secrets, op7_line_dedup, op8_packing,
+        op9_decontaminate, op10_quality, pipeline,
+    )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_licenses": licenses.ORACLE_SQL,
+        "op4_lm_score": lm_score.ORACLE_SQL,
         "op5_chat_format": chat.ORACLE_SQL,
         "op6_secrets": secrets.ORACLE_SQL,
         "op7_line_dedup": line_dedup.ORACLE_SQL,
