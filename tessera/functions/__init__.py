@@ -1 +1 @@
-
+"""Column functions and string helpers for RDF terms."""

@@ -1 +1 @@
-
+"""From SPARQL text to join plans."""

@@ -1,19 +1,514 @@
-"""The engine's registered queries and their SQL."""
+"""The engine's registered queries and their SQL over the relational tables."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions.terms import RDF_TYPE, mangle, partition_label
+from tessera.operators import bgp, centrality, graph, stats, store
+from tessera.operators.lineage import shared_dir
+from tessera.plans.build import Analysis
+from tessera.plans.engine import Engine
+from tessera.sources import ntriples
+from tessera.sources.relational import BASE, ENTITIES, PROPERTIES, RelationalGraph, iri
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+PREFIX = f"PREFIX ex: <{BASE}>\n"
+
+
+def registered(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+def pattern_query(name: str, text: str, sql: str) -> None:
+    """A SPARQL query over the virtual graph."""
+    registered(name, sql)(lambda spark, sf_dir: bgp.evaluate(RelationalGraph(spark, sf_dir), PREFIX + text))
+
+
+def node(kind: str, key: str) -> str:
+    return f"'<{BASE}{kind}/' || {key} || '>'"
+
+
+def text(column: str) -> str:
+    return f"""'"' || {column} || '"'"""
+
+
+REGION, NATION = node("region", "r_regionkey"), node("nation", "n_nationkey")
+CUSTOMER, SUPPLIER = node("customer", "c_custkey"), node("supplier", "s_suppkey")
+PART, ORDER = node("part", "p_partkey"), node("order", "o_orderkey")
+LINE_KEY = "l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber"
+LINE, EVENT = node("lineitem", LINE_KEY), node("event", "event_id")
+SEGMENT, BRAND = node("segment", "c_mktsegment"), node("brand", "replace(p_brand, '#', '_')")
+
+# --- patterns over the virtual graph -------------------------------------------------------------------------------
+
+pattern_query(
+    "bgp_customer_nation_names",
+    "SELECT ?c ?name WHERE { ?c a ex:Customer . ?c ex:inNation ?n . ?n ex:name ?name . }",
+    f"select {CUSTOMER} as c, {text('n_name')} as name from customer join nation on c_nationkey = n_nationkey",
+)
+pattern_query("scan_type_single", "SELECT ?x WHERE { ?x a ex:Customer . }", f"select {CUSTOMER} as x from customer")
+pattern_query(
+    "scan_sp_o", "SELECT ?n WHERE { <http://ex.org/customer/5> ex:inNation ?n . }", f"select {node('nation', 'c_nationkey')} as n from customer where c_custkey = 5"
+)
+pattern_query(
+    "scan_po_s", "SELECT ?x WHERE { ?x ex:inNation <http://ex.org/nation/3> . }",
+    f"select {CUSTOMER} as x from customer where c_nationkey = 3 union all select {SUPPLIER} from supplier where s_nationkey = 3",
+)
+pattern_query("scan_p_only", "SELECT ?n ?r WHERE { ?n ex:inRegion ?r }", f"select {NATION} as n, {node('region', 'n_regionkey')} as r from nation")
+pattern_query(
+    "scan_s_unbound",
+    "SELECT ?p ?o WHERE { <http://ex.org/customer/5> ?p ?o . }",
+    f"""with c as (select * from customer where c_custkey = 5)
+select '{RDF_TYPE}' as p, '{iri("Customer")}' as o from c union all select '{iri("inNation")}', {node("nation", "c_nationkey")} from c
+union all select '{iri("inSegment")}', {SEGMENT} from c union all select '{iri("name")}', {text("c_name")} from c""",
+)
+pattern_query(
+    "scan_o_unbound",
+    "SELECT ?s ?p WHERE { ?s ?p <http://ex.org/customer/5> . }",
+    f"""select {ORDER} as s, '{iri("placedBy")}' as p from orders where o_custkey = 5
+union all select {EVENT}, '{iri("byUser")}' from events where user_id = 5""",
+)
+pattern_query(
+    "scan_so_unbound",
+    "SELECT ?p WHERE { <http://ex.org/customer/5> ?p ex:Customer . }",
+    f"select '{RDF_TYPE}' as p from customer where c_custkey = 5",
+)
+
+
+def _all_triples_sql() -> str:
+    subject = {
+        "Region": REGION, "Nation": NATION, "Customer": CUSTOMER, "Supplier": SUPPLIER, "Part": PART, "Order": ORDER,
+        "Lineitem": LINE, "Event": EVENT, "Segment": SEGMENT, "Brand": BRAND,
+    }
+    out = [f"select distinct {subject[c]} as s, '{RDF_TYPE}' as p, '{iri(c)}' as o from {t}" for c, (t, _, _) in ENTITIES.items()]
+    for c, p, o, to in PROPERTIES:
+        value = node(o.term.prefix[len(BASE) : -1], o.expr) if to else text(o.expr)
+        out.append(f"select distinct {subject[c]}, '{iri(p)}', {value} from {ENTITIES[c][0]}")
+    return " union all ".join(out)
+
+
+TRIPLES_SQL = _all_triples_sql()
+
+pattern_query("scan_all_vars", "SELECT ?s ?p ?o WHERE { ?s ?p ?o . }", TRIPLES_SQL)
+pattern_query(
+    "bgp_star_subject",
+    "SELECT ?c ?n ?g ?m WHERE { ?c a ex:Customer . ?c ex:inNation ?n . ?c ex:inSegment ?g . ?c ex:name ?m . }",
+    f"select {CUSTOMER} as c, {node('nation', 'c_nationkey')} as n, {SEGMENT} as g, {text('c_name')} as m from customer",
+)
+pattern_query(
+    "bgp_star_constants",
+    "SELECT ?c WHERE { ?c ex:inNation <http://ex.org/nation/3> . ?c ex:inSegment <http://ex.org/segment/BUILDING> . ?c a ex:Customer . }",
+    f"select {CUSTOMER} as c from customer where c_nationkey = 3 and c_mktsegment = 'BUILDING'",
+)
+pattern_query(
+    "bgp_linear3",
+    "SELECT ?o ?c ?n ?r WHERE { ?o ex:placedBy ?c . ?c ex:inNation ?n . ?n ex:inRegion ?r . }",
+    f"""select {ORDER} as o, {CUSTOMER} as c, {NATION} as n, {node("region", "n_regionkey")} as r
+from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey""",
+)
+pattern_query(
+    "bgp_snowflake",
+    "SELECT ?l ?o ?b ?n WHERE { ?l ex:ofOrder ?o . ?o ex:status \"F\" . ?l ex:ofPart ?p . ?p ex:hasBrand ?b . ?l ex:suppliedBy ?s . ?s ex:inNation ?n . }",
+    f"""select distinct {LINE} as l, {ORDER} as o, {BRAND} as b, {node("nation", "s_nationkey")} as n
+from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey where o_orderstatus = 'F'""",
+)
+pattern_query(
+    "bgp_triangle",
+    """SELECT ?c ?s ?n ?l WHERE { ?c a ex:Customer . ?s a ex:Supplier . ?n a ex:Nation .
+      ?o ex:placedBy ?c . ?l ex:ofOrder ?o . ?l ex:suppliedBy ?s . ?c ex:inNation ?n . ?s ex:inNation ?n . }""",
+    f"""select distinct {CUSTOMER} as c, {SUPPLIER} as s, {NATION} as n, {LINE} as l from lineitem join orders on l_orderkey = o_orderkey
+join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey join nation on c_nationkey = n_nationkey and s_nationkey = n_nationkey""",
+)
+pattern_query(
+    "bgp_cross",
+    "SELECT ?a ?b WHERE { <http://ex.org/customer/5> ex:name ?a . <http://ex.org/supplier/2> ex:inNation ?b . }",
+    f"select {text('c_name')} as a, {node('nation', 's_nationkey')} as b from customer, supplier where c_custkey = 5 and s_suppkey = 2",
+)
+pattern_query(
+    "bgp_object_constant",
+    "SELECT ?o WHERE { ?o a ex:Order . ?o ex:placedBy <http://ex.org/customer/7> . }",
+    f"select {ORDER} as o from orders where o_custkey = 7",
+)
+pattern_query(
+    "bgp_fully_bound_gate",
+    "SELECT ?x WHERE { <http://ex.org/customer/5> a ex:Customer . ?x a ex:Region . }",
+    f"select {REGION} as x from region where exists (select 1 from customer where c_custkey = 5)",
+)
+pattern_query(
+    "bgp_closed_gate", "SELECT ?x WHERE { <http://ex.org/customer/5> a ex:Supplier . ?x a ex:Region . }", f"select {REGION} as x from region where false"
+)
+pattern_query("bgp_repeated_var", "SELECT ?x WHERE { ?x ex:inNation ?x . }", f"select {NATION} as x from nation where false")
+pattern_query(
+    "bgp_projection_subset",
+    "SELECT ?n WHERE { ?c ex:inNation ?n . ?c ex:inSegment <http://ex.org/segment/BUILDING> . }",
+    f"select {node('nation', 'c_nationkey')} as n from customer where c_mktsegment = 'BUILDING'",
+)
+pattern_query(
+    "bgp_select_star", "SELECT * WHERE { ?s ex:inNation ?n . ?s a ex:Supplier . ?n ex:name ?m . }",
+    f"select {SUPPLIER} as s, {NATION} as n, {text('n_name')} as m from supplier join nation on s_nationkey = n_nationkey",
+)
+pattern_query(
+    "bgp_variable_class",
+    "SELECT ?t ?x WHERE { ?x ex:inNation <http://ex.org/nation/3> . ?x a ?t . }",
+    f"""select '{iri("Customer")}' as t, {CUSTOMER} as x from customer where c_nationkey = 3
+union all select '{iri("Supplier")}', {SUPPLIER} from supplier where s_nationkey = 3""",
+)
+pattern_query(
+    "bgp_unbound_in_join",
+    "SELECT ?p ?n ?o WHERE { <http://ex.org/order/7> ?p ?n . ?n ex:inNation ?o . }",
+    f"""select '{iri("placedBy")}' as p, {CUSTOMER} as n, {node("nation", "c_nationkey")} as o from orders join customer on o_custkey = c_custkey where o_orderkey = 7""",
+)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return QUERIES["bgp_customer_nation_names"](spark, sf_dir)
+
+
+@registered(
+    "natural_join_subqueries",
+    f"select {ORDER} as o, {CUSTOMER} as c, {text('c_name')} as m from orders join customer on o_custkey = c_custkey where c_nationkey = 3",
+)
+def natural_join_subqueries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = RelationalGraph(spark, sf_dir)
+    a = bgp.evaluate(own, PREFIX + "SELECT ?o ?c WHERE { ?o ex:placedBy ?c . }")
+    b = bgp.evaluate(own, PREFIX + "SELECT ?c ?m WHERE { ?c ex:name ?m . ?c ex:inNation <http://ex.org/nation/3> . ?c a ex:Customer . }")
+    return bgp.natural_join(a, b).select("o", "c", "m")
+
+
+# --- graph construction and statistics -----------------------------------------------------------------------------
+
+
+def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return RelationalGraph(spark, sf_dir).triples()
+
+
+def _schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return RelationalGraph(spark, sf_dir).schema_triples()
+
+
+def _analysis(spark: SparkSession, sf_dir: str, k: int = 3) -> Analysis:
+    return Analysis(_triples(spark, sf_dir), _schema(spark, sf_dir), k)
+
+
+_LINES = f"(select distinct {LINE} as l, l_orderkey, l_partkey, l_suppkey from lineitem)"
+_KINDS = f"""with t as ({TRIPLES_SQL}), k as (select *, p = '{RDF_TYPE}' as is_type, o like '"%' and p <> '{RDF_TYPE}' as is_lit from t)"""
+
+
+@registered(
+    "typed_vertices",
+    f"""{_KINDS}, v as (select distinct s as uri from k union select o from k where not is_type and not is_lit),
+ty as (select s as uri, string_agg(distinct o, ',' order by o) as types from k where is_type group by s),
+n as (select uri, coalesce(types, '') as types from v left join ty using (uri)) select types, count(*) as n from n group by types""",
+)
+def typed_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vertices = graph.instance_vertices(_triples(spark, sf_dir))
+    return vertices.groupBy(F.array_join("types", ",").alias("types")).agg(F.count("*").alias("n"))
+
+
+@registered(
+    "vertex_labels_count",
+    f"""{_KINDS}, v as (select distinct s as uri from k union select o from k where not is_type and not is_lit),
+l as (select s as uri, count(*) as labels from (select distinct s, p, o from k where is_lit) group by s)
+select cast(coalesce(labels, 0) as bigint) as labels, count(*) as n from v left join l using (uri) group by all""",
+)
+def vertex_labels_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vertices = graph.instance_vertices(_triples(spark, sf_dir))
+    return vertices.groupBy(F.size("labels").cast("long").alias("labels")).agg(F.count("*").alias("n"))
+
+
+@registered("instance_edges", f"{_KINDS} select p, count(*) as n, count(distinct o) as objects from k where not is_type and not is_lit group by p")
+def instance_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = graph.instance_edges(_triples(spark, sf_dir))
+    by_object = edges.groupBy("p", "o").agg(F.count("*").alias("k"))
+    return by_object.groupBy("p").agg(F.sum("k").alias("n"), F.count("*").alias("objects"))
+
+
+_SCHEMA = ", ".join(f"('{iri(c)}', '{iri(p)}', '{iri(to)}')" for c, p, _, to in PROPERTIES if to)
+_SCHEMA_CTE = f"sch(src, pred, dst) as (values {_SCHEMA}), vert as (select uri, cast(row_number() over (order by uri) - 1 as bigint) as id from (select src as uri from sch union select dst from sch))"
+
+
+@registered("schema_vertices", f"with {_SCHEMA_CTE} select id, uri from vert")
+def schema_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.schema_vertices(_schema(spark, sf_dir))
+
+
+@registered("schema_edges_bidirectional", f"with {_SCHEMA_CTE} select src, dst, pred from sch union all select dst, src, pred from sch")
+def schema_edges_bidirectional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.bidirectional(graph.schema_edges(_schema(spark, sf_dir)))
+
+
+def _cc_sql() -> str:
+    keys = {"Region": "r_regionkey", "Nation": "n_nationkey", "Customer": "c_custkey", "Supplier": "s_suppkey", "Part": "p_partkey", "Order": "o_orderkey"}
+    out = []
+    for c, p, o, to in PROPERTIES:
+        if to:
+            rows = _LINES if c == "Lineitem" else ENTITIES[c][0]
+            where = f" where {o.expr} in (select {keys[to]} from {ENTITIES[to][0]})" if to in keys else ""
+            out.append(f"select '{iri(c)}' as src_class, '{iri(p)}' as p, '{iri(to)}' as dst_class, count(*) as freq, count(distinct {o.expr}) as distinct_objects from {rows}{where}")
+    return " union all ".join(out)
+
+
+CC_SQL = _cc_sql()
+_ENDS = f"""{_KINDS}, e as (select distinct s, p, o from k where not is_type and not is_lit), ends as (select s as uri from e union all select o from e),
+ty as (select distinct s as uri, o as class from k where is_type)"""
+FREQ_SQL = f"{_ENDS} select class, count(distinct uri) as node_freq from ends join ty using (uri) group by class"
+
+
+@registered("class_cardinality", CC_SQL)
+def class_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.class_cardinality(_triples(spark, sf_dir))
+
+
+@registered("class_node_freq", FREQ_SQL)
+def class_node_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.class_node_freq(_triples(spark, sf_dir))
+
+
+@registered("class_node_count", f"{_ENDS} select class, count(*) as node_count from ends join ty using (uri) group by class")
+def class_node_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.class_node_count(_triples(spark, sf_dir))
+
+
+# --- centrality and paths over the schema --------------------------------------------------------------------------
+
+#: Walks without shortcuts over the schema's edges: distances, and shortest paths counted by walks of that length.
+_BFS = f"""{_SCHEMA_CTE}, adj as (select src as a, dst as b from sch where src <> dst union all select dst, src from sch where src <> dst),
+walk(r, v, d) as (select uri, uri, 0 from vert union all select r, b, d + 1 from walk join adj on v = a where d < 6),
+dist as (select r, v, min(d) as d from walk group by r, v),
+sig as (select w.r, w.v, w.d, count(*) as n from walk w join dist x on w.r = x.r and w.v = x.v and w.d = x.d group by all)"""
+_BC = f"""{_BFS}, bc0 as (select m.uri as v, coalesce(sum(a.n * b.n / cast(c.n as double)), 0) / 2
+  / ((select (count(*) - 1) * (count(*) - 2) / 2.0 from vert)) as bc
+from vert m left join (sig a join sig b on a.v = b.r join sig c on c.r = a.r and c.v = b.v and a.d + b.d = c.d and a.r <> a.v and b.r <> b.v and a.r <> b.v)
+  on a.v = m.uri group by m.uri)"""
+_FREQ = f"freq as ({FREQ_SQL})"
+_IMP = f"""{_BC}, {_FREQ}, base as (select v as class, bc, coalesce(node_freq, 0) as node_freq from bc0 left join freq on v = class),
+imp as (select class, bc, node_freq, (bc - min(bc) over ()) / (max(bc) over () - min(bc) over ())
+  + (node_freq - min(node_freq) over ()) / cast(max(node_freq) over () - min(node_freq) over () as double) as importance from base)"""
+_CLOSE = f"""{_IMP}, cc as ({CC_SQL}), c as (select count(*) as c from vert), both_ as (select src, dst, pred from sch union select dst, src, pred from sch),
+w as (select b.src, b.dst, b.pred, (1.0 + c) / c + coalesce(x.distinct_objects / cast(x.freq as double), y.distinct_objects / cast(y.freq as double), 0) as closeness
+  from both_ b cross join c left join cc x on b.src = x.src_class and b.pred = x.p and b.dst = x.dst_class
+  left join cc y on b.dst = y.src_class and b.pred = y.p and b.src = y.dst_class),
+wt as (select w.*, importance / closeness as weight from w join imp on dst = class)"""
+_TOP = "cen as (select class from imp where contains(class, 'http') order by importance desc, class limit 3)"
+_PATHS = f"""{_CLOSE}, {_TOP}, light as (select src, dst, min(weight) as weight from wt group by all),
+pth(root, v, dist, hops, seen) as (select class, class, cast(0 as double), 0, [class] from cen union all
+  select root, dst, dist + weight, hops + 1, list_append(seen, dst) from pth join light on v = src where not list_contains(seen, dst)),
+short as (select root, v, dist, hops from (select *, row_number() over (partition by root, v order by round(dist, 12), hops) as rk from pth) where rk = 1)"""
+_DEP = f"""{_PATHS}, dif as (select root, v, dist, hops, importance - dist as diff from short join imp on root = class),
+mm as (select min(diff) as lo, max(diff) as hi from dif),
+dep as (select root, v, dist, hops, (diff - lo) / (hi - lo) / (hops * hops) as dependence from dif, mm where v not in (select class from cen))"""
+
+
+@registered("bfs_levels", f"with recursive {_BFS} select r as root, v, cast(d as bigint) as distance from dist")
+def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centrality.bfs_distances(graph.schema_edges(_schema(spark, sf_dir)))
+    return found.select("root", "v", F.col("distance").cast("long").alias("distance"))
+
+
+@registered("betweenness", f"with recursive {_BC} select v, round(bc, 9) as bc from bc0")
+def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centrality.betweenness(graph.schema_edges(_schema(spark, sf_dir))).select("v", F.round("bc", 9).alias("bc"))
+
+
+@registered("class_importance", f"with recursive {_IMP} select class, node_freq, round(bc, 9) as bc, round(importance, 9) as importance from imp")
+def class_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _analysis(spark, sf_dir).importance
+    return own.select("class", "node_freq", F.round("bc", 9).alias("bc"), F.round("importance", 9).alias("importance"))
+
+
+@registered("top_k_centroids", f"with recursive {_IMP}, {_TOP} select class, round(importance, 9) as importance from imp where class in (select class from cen)")
+def top_k_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _analysis(spark, sf_dir).centroids.select("class", F.round("importance", 9).alias("importance"))
+
+
+@registered("cardinality_closeness", f"with recursive {_CLOSE} select src, dst, pred, round(closeness, 9) as closeness from wt")
+def cardinality_closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _analysis(spark, sf_dir).weighted.select("src", "dst", "pred", F.round("closeness", 9).alias("closeness"))
+
+
+@registered("weighted_edges", f"with recursive {_CLOSE} select src, dst, pred, round(weight, 9) as weight from wt")
+def weighted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _analysis(spark, sf_dir).weighted.select("src", "dst", "pred", F.round("weight", 9).alias("weight"))
+
+
+@registered("centroid_shortest_paths", f"with recursive {_PATHS} select root, v, round(dist, 9) as dist, cast(hops as bigint) as hops from short")
+def centroid_shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _analysis(spark, sf_dir).shortest
+    return own.select("root", "v", F.round("dist", 9).alias("dist"), F.size("path").cast("long").alias("hops"))
+
+
+@registered("dependence_rank", f"with recursive {_DEP} select root, v, round(dependence, 9) as dependence, row_number() over (partition by root order by dependence desc, v) as rank from dep")
+def dependence_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _analysis(spark, sf_dir).dependence
+    return own.select("root", "v", F.round("dependence", 9).alias("dependence"), "rank")
+
+
+# --- clustering, placement, the store ------------------------------------------------------------------------------
+
+
+@registered("class_index")
+def class_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _analysis(spark, sf_dir).class_index
+
+
+@registered("placed_triples_count")
+def placed_triples_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.partition_stats(_analysis(spark, sf_dir).placed())
+
+
+@registered("replication_factor")
+def replication_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _analysis(spark, sf_dir)
+    return store.replication(own.placed(), own.triples)
+
+
+_STORES: dict[tuple[str, str], str] = {}
+
+
+def built_store(spark: SparkSession, sf_dir: str) -> store.Store:
+    """The store of a folder's tables; built once for each session, in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        _STORES[key] = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    return _analysis(spark, sf_dir).write(_STORES[key])
+
+
+@registered("vp_table_stats", f"with t as ({TRIPLES_SQL}) select p, count(*) as rows from t group by p")
+def vp_table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the vertical tables before placement: a store of one partition."""
+    one = _triples(spark, sf_dir).withColumn("part_id", F.lit(0))
+    return stats.table_stats(one).select("p", "rows")
+
+
+@registered("partition_stats", f"with t as ({TRIPLES_SQL}) select count(*) as distinct_triples from t")
+def partition_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All partitions of the store hold the triples, each once or more."""
+    return built_store(spark, sf_dir).placed.select("s", "p", "o").distinct().agg(F.count("*").alias("distinct_triples"))
+
+
+@registered("store_table_stats")
+def store_table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return built_store(spark, sf_dir).stats
+
+
+@registered("node_index", f"{_KINDS} select distinct s as uri, o as class from k where is_type")
+def node_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.node_index(_triples(spark, sf_dir))
+
+
+@registered(
+    "vp_index",
+    f"""{_KINDS}, r as (select distinct s as uri, 's' || p as x from k union select o, 'o' || p from k where not is_lit)
+select uri, string_agg(x, ',' order by x) as preds from r group by uri""",
+)
+def vp_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = _triples(spark, sf_dir).withColumn("part_id", F.lit(0))
+    return store.vertical_index_text(store.vertical_index(one)).select("uri", "preds")
+
+
+@registered("discover_partition")
+def discover_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.plans.sparql import parse
+
+    engine = Engine(built_store(spark, sf_dir))
+    query = parse(PREFIX + "SELECT * WHERE { ?c a ex:Customer . ?c ex:inNation ?n . <http://ex.org/part/3> ex:hasBrand ?b . ?x ?y ?z . }")
+    rows = [(k, " ".join(query.patterns[k].terms), part) for k, part in engine.discover(query).items()]
+    return spark.createDataFrame(rows, "pattern int, terms string, part_id int")
+
+
+def pruned(name: str, text_: str, like: str) -> None:
+    """A query answered from the store; the same SQL as its twin over the virtual graph."""
+    registered(name, ORACLE[like])(lambda spark, sf_dir: Engine(built_store(spark, sf_dir)).solutions(PREFIX + text_))
+
+
+pruned("pruned_bgp", "SELECT ?o ?c ?n ?r WHERE { ?o ex:placedBy ?c . ?c a ex:Customer . ?o a ex:Order . ?c ex:inNation ?n . ?n ex:inRegion ?r . }", "bgp_linear3")
+pruned("pruned_star_subject", "SELECT ?c ?n ?g ?m WHERE { ?c a ex:Customer . ?c ex:inNation ?n . ?c ex:inSegment ?g . ?c ex:name ?m . }", "bgp_star_subject")
+pruned("pruned_s_unbound", "SELECT ?p ?o WHERE { <http://ex.org/customer/5> ?p ?o . }", "scan_s_unbound")
+pruned("pruned_o_unbound", "SELECT ?s ?p WHERE { ?s ?p <http://ex.org/customer/5> . }", "scan_o_unbound")
+pruned("pruned_unknown_class", "SELECT ?n ?r WHERE { ?n ex:inRegion ?r }", "scan_p_only")
+pruned(
+    "pruned_triangle",
+    """SELECT ?c ?s ?n ?l WHERE { ?c a ex:Customer . ?s a ex:Supplier . ?n a ex:Nation .
+      ?o ex:placedBy ?c . ?l ex:ofOrder ?o . ?l ex:suppliedBy ?s . ?c ex:inNation ?n . ?s ex:inNation ?n . }""",
+    "bgp_triangle",
+)
+
+
+@registered("warm_cold_runs")
+def warm_cold_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One query warm (tables cached, counted) and cold (written as CSV): both give the count that the log has."""
+    engine = Engine(built_store(spark, sf_dir))
+    text_ = PREFIX + "SELECT ?c ?n WHERE { ?c a ex:Customer . ?c ex:inNation ?n . }"
+    runs = [engine.run(text_, "warm"), engine.run(text_, "cold", warm=False, csv=f"{shared_dir(spark)}/result-{uuid.uuid4().hex}")]
+    engine.unload()
+    return spark.createDataFrame([(r.query, r.result_count, r.patterns) for r in runs], "query string, result_count long, patterns int")
+
+
+@registered("translated_query")
+def translated_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(built_store(spark, sf_dir))
+    text_ = engine.translated(PREFIX + "SELECT ?c ?m WHERE { ?c a ex:Customer . ?c ex:inNation ?n . ?n ex:name ?m . }", "names")
+    return spark.createDataFrame([(k, line) for k, line in enumerate(text_.splitlines())], "line int, text string")
+
+
+@registered("join_order_choice")
+def join_order_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order in which the triangle's patterns are joined, from the store's row counts."""
+    from tessera.plans.order import join_order
+    from tessera.plans.sparql import parse
+
+    engine = Engine(built_store(spark, sf_dir))
+    query = parse(PREFIX + "SELECT ?c ?s ?n WHERE { ?o ex:placedBy ?c . ?l ex:ofOrder ?o . ?l ex:suppliedBy ?s . ?c ex:inNation ?n . ?s ex:inNation ?n . }")
+    rows = engine.estimates(query, engine.discover(query))
+    order = join_order([(n, frozenset(t.variables)) for n, t in zip(rows, query.patterns)])
+    out = [(place, " ".join(query.patterns[k].terms), rows[k]) for place, k in enumerate(order)]
+    return spark.createDataFrame(out, "place int, pattern string, estimate double")
+
+
+# --- sources and functions -----------------------------------------------------------------------------------------
+
+
+@registered(
+    "ntriples_roundtrip",
+    f"""select {NATION} as s, '{iri("name")}' as p, {text("n_name")} as o from nation union all select {NATION}, '{iri("inRegion")}', {node("region", "n_regionkey")} from nation
+union all select {NATION}, '{RDF_TYPE}', '{iri("Nation")}' from nation""",
+)
+def ntriples_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples written as N-Triples text and read back."""
+    own = RelationalGraph(spark, sf_dir)
+    nations = own.triples().where(F.col("s").startswith(f"<{BASE}nation/"))
+    path = f"{shared_dir(spark)}/triples-{uuid.uuid4().hex}"
+    ntriples.write_ntriples(nations, path)
+    return ntriples.read_ntriples(spark, path)
+
+
+@registered(
+    "mangle_predicate",
+    f"""with {_SCHEMA_CTE} select distinct pred, lower(regexp_replace(pred, '[^A-Za-z0-9]', '_', 'g')) as mangled,
+lpad(cast(length(pred) as varchar), 5, '0') as label from sch""",
+)
+def mangle_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    preds = _schema(spark, sf_dir).select(F.col("p").alias("pred")).distinct()
+    return preds.select("pred", mangle(F.col("pred")).alias("mangled"), partition_label(F.length("pred")).alias("label"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)

@@ -1 +1 @@
-
+"""Incremental ingest of N-Triples."""
