@@ -49,7 +49,8 @@ def class_index_text(index: DataFrame) -> DataFrame:
 
 def read_class_index(spark: SparkSession, path: str) -> DataFrame:
     """(class, part_id) from its file form."""
-    return read_pairs(spark, path, ("class", "parts")).select("class", F.explode(F.split("parts", ",")).cast("int").alias("part_id"))
+    parts = F.split("parts", ",").cast("array<int>")
+    return read_pairs(spark, path, ("class", "parts")).select("class", F.explode(parts).alias("part_id"))
 
 
 def list_files(base: str, recursive: bool = True) -> list[str]:
