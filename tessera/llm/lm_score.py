@@ -25,8 +25,8 @@ from tessera.llm.common import only
 
 ORDER = 2
 ALPHA = 0.4
-#: Characters of a chunk, and n-gram buckets for each chunk: both bound what a task holds.
-CHUNK_CHARS = 16_000_000
+#: Characters of a chunk, and chunks for each bucket of the count table: both bound what a task holds.
+CHUNK_CHARS, PER_BUCKET = 4_000_000, 4
 SEED = 42
 #: The key under which a chunk's number of words is counted.
 ALL = np.uint64(0)
@@ -114,7 +114,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     """
     total = docs.agg(F.sum(F.length(F.col(f"`{text_col}`")))).first()[0] or 0
     chunks = max(1, math.ceil(total / chunk_chars))
-    shift = 64 - max(1, math.ceil(math.log2(max(chunks, 2))))
+    shift = 64 - max(1, math.ceil(math.log2(chunks / PER_BUCKET)) if chunks > PER_BUCKET else 1)
     own = only(docs, id_col, text_col).toDF("id", "text").select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     dealt = own.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int"))
 
