@@ -165,13 +165,12 @@ def _values() -> str:
     return ", ".join(f"('{a}', {k}, '{t}', {w!r}, {idf[t]!r})" for a, k, t, w in rows)
 
 
-_RE_CUE = CUE
 ORACLE_SQL = f"""
 with tpl(license, template, term, weight, idf) as (values {_values()}),
 idfs as (select distinct term, idf from tpl),
 rows_ as (select doc_id as id, coalesce(source, '') || '/' || coalesce(lang, '') || '/' || doc_id || '.txt' as path, coalesce(source, '') || '/' || coalesce(lang, '') as dir, coalesce(text, '') as text from documents),
-found as (select * from rows_ where regexp_matches(text, '{_RE_CUE}')),
-headers as (select id, path, dir, ln as text from (select id, path, dir, unnest(string_split(text, chr(10))) as ln from found) where regexp_matches(ln, '{_RE_CUE}')),
+found as (select * from rows_ where regexp_matches(text, '{CUE}')),
+headers as (select id, path, dir, ln as text from (select id, path, dir, unnest(string_split(text, chr(10))) as ln from found) where regexp_matches(ln, '{CUE}')),
 units as (select distinct text from (select text from headers union all select text from found)),
 terms as (select text as unit, unnest(regexp_extract_all(lower(text), '{TERM}')) as term from units),
 tf as (select unit, term, count(*) as tf from terms group by all),
