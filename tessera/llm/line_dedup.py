@@ -43,7 +43,8 @@ def _islands(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Dat
             F.regexp_count("ln", F.lit(WORD)).alias("words"),
         )
     )
-    often = lines.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y")
+    # counted apart from the join, so that Spark can split a very common line's partition there
+    often = cut(lines.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y"))
     own = Window.partitionBy("doc", "h").orderBy("pos")
     island = Window.partitionBy("doc", "h", "isl")
     rows = lines.join(often, ["x", "y"]).repartitionByRange("doc", "h")
@@ -81,8 +82,11 @@ def _runs(rows: DataFrame, min_words: int) -> DataFrame:
 
 
 def _named(pairs: DataFrame, *by: str) -> DataFrame:
-    """Each class of rows with equal `by` is named by its earliest suffix; classes of one row go."""
-    least = pairs.groupBy(*by).agg(F.min("gid").alias("rank"), F.count("*").alias("n")).where("n > 1").drop("n")
+    """Each class of rows with equal `by` is named by its earliest suffix; classes of one row go.
+
+    The names are computed apart from the join, so that Spark can split a large class's partition there.
+    """
+    least = cut(pairs.groupBy(*by).agg(F.min("gid").alias("rank"), F.count("*").alias("n")).where("n > 1").drop("n"))
     return pairs.join(least, list(by)).drop(*by)
 
 
@@ -92,7 +96,7 @@ def suffix_ranks(rows: DataFrame, levels: int) -> DataFrame:
     out = level.select(F.lit(0).alias("k"), "gid", "rank")
     for k in range(levels):
         ahead = level.select(*ISLAND, (F.col("gid") - 2**k).alias("gid"), F.col("rank").alias("rank2"))
-        pairs = level.withColumnRenamed("rank", "rank1").join(ahead, [*ISLAND, "gid"])
+        pairs = cut(level.withColumnRenamed("rank", "rank1").join(ahead, [*ISLAND, "gid"]))
         level = cut(_named(pairs, "rank1", "rank2"))
         out = out.unionByName(level.select(F.lit(k + 1).alias("k"), "gid", "rank"))
     return out
@@ -108,8 +112,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     runs = runs.withColumn("last", F.expr("gid + m - shiftleft(1L, k)"))
     first = ranks.withColumnRenamed("rank", "r1")
     last = ranks.select("k", F.col("gid").alias("last"), F.col("rank").alias("r2"))
-    runs = runs.join(first, ["k", "gid"]).join(last, ["k", "last"])
-    least = runs.groupBy("m", "r1", "r2").agg(F.min("gid").alias("least"))
+    runs = cut(runs.join(first, ["k", "gid"]).join(last, ["k", "last"]))
+    least = cut(runs.groupBy("m", "r1", "r2").agg(F.min("gid").alias("least")))
     later = runs.join(least, ["m", "r1", "r2"]).where("gid > least").groupBy("gid").agg(F.max(F.col("gid") + F.col("m")).alias("stop"))
     w = Window.partitionBy(*ISLAND).orderBy("gid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     reached = rows.select(*ISLAND, "gid", "pos").join(later, "gid", "left").withColumn("stop", F.max("stop").over(w))
