@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.terms import is_variable, variable_name
-from tessera.plans.order import join_order
+from tessera.plans.order import Part, join_order
 from tessera.plans.sparql import BGPQuery, TriplePattern, parse
-from tessera.sources.relational import FULL, Bound, Mapping, RelationalGraph, Side, Term
+from tessera.sources.relational import ENTITIES, FULL, Bound, Mapping, RelationalGraph, Side, Term
 
 #: Share of a table's rows that an equality with a constant is taken to keep, for the join order.
 SELECTIVITY = 0.001
+#: Bytes of a row in a file, to turn file sizes into rows; only ratios matter.
+ROW_BYTES = 20.0
 
 
 def size_of(df: DataFrame) -> float:
@@ -62,15 +64,14 @@ def join_bound(a: Bound, b: Bound) -> Bound:
     return Bound(a.df.join(b.df, shared, "inner"), a.terms | b.terms)
 
 
-def join_all(parts: list[tuple[float, Bound]]) -> Bound:
+def join_all(parts: list[tuple[Part, Bound]]) -> Bound:
     """Left-deep, in the order of join_order. Parts without variables are gates: they let all rows pass or none."""
-    order = join_order([(rows, frozenset(b.terms)) for rows, b in parts])
-    gates = [k for k in order if not parts[k][1].terms]
-    rest = [k for k in order if parts[k][1].terms]
+    gates = [b for _, b in parts if not b.terms]
+    rest = [(p, b) for p, b in parts if b.terms]
     if not rest:
-        rows = reduce(lambda a, b: a.crossJoin(b), [parts[k][1].df.limit(1) for k in gates])
-        return Bound(rows, {})
-    return reduce(join_bound, [parts[k][1] for k in [*rest, *gates]])
+        return Bound(reduce(lambda a, b: a.crossJoin(b), [b.df.limit(1) for b in gates]), {})
+    order = join_order([p for p, _ in rest])
+    return reduce(join_bound, [*[rest[k][1] for k in order], *gates])
 
 
 def project(bound: Bound, names: tuple[str, ...]) -> DataFrame:
@@ -171,6 +172,20 @@ def _fusable(a: tuple[TriplePattern, list[Mapping]], b: tuple[TriplePattern, lis
     return own and m.table == n.table and m.s == n.s and m.functional and n.functional and not is_variable(t.p) and not is_variable(u.p)
 
 
+def _estimate(graph: RelationalGraph, t: TriplePattern, ms: list[Mapping], bound: Bound) -> Part:
+    """Rows from file sizes. A subject's values are as many as rows; an object's as many as its class has instances."""
+    rows = sum(size_of(graph.table(m.table)) for m in {m.table: m for m in ms}.values()) / ROW_BYTES
+    for term, side in ((t.s, "s"), (t.o, "o")):
+        if not is_variable(term) and any(getattr(m, side).constant is None for m in ms):
+            rows *= SELECTIVITY
+    distinct = dict.fromkeys(bound.terms, max(rows, 1.0))
+    if is_variable(t.o):
+        homes = {ENTITIES[m.range][0] for m in ms if m.range}
+        if homes:
+            distinct[variable_name(t.o)] = min(max(rows, 1.0), sum(size_of(graph.table(x)) for x in homes) / ROW_BYTES)
+    return Part(max(rows, 1.0), distinct)
+
+
 def evaluate_relational(graph: RelationalGraph, query: BGPQuery) -> DataFrame:
     viable = viable_mappings(graph, query.patterns)
     items = list(zip(query.patterns, viable))
@@ -184,11 +199,9 @@ def evaluate_relational(graph: RelationalGraph, query: BGPQuery) -> DataFrame:
             bound = _scan_union(graph, *items[g[0]])
         else:
             bound = _scan_star(graph, [items[k][0] for k in g], [items[k][1][0] for k in g])
-        constants = sum(t[0] == "C" for t in (query.patterns[k].mask for k in g)) + sum(
-            query.patterns[k].mask[2] == "C" and items[k][1] != [] and items[k][1][0].o.constant is None for k in g
-        )
-        size = sum(size_of(graph.table(m.table)) for m in {m.table: m for k in g for m in items[k][1]}.values())
-        parts.append((size * SELECTIVITY**constants, bound))
+        own = [_estimate(graph, *items[k], bound) for k in g]
+        rows = min(p.rows for p in own)
+        parts.append((Part(rows, {v: min(rows, *(p.distinct[v] for p in own)) for v in bound.terms}), bound))
     return project(join_all(parts), query.projected)
 
 
@@ -199,8 +212,8 @@ def evaluate_triples(triples: DataFrame, query: BGPQuery, rows: dict[str, float]
     parts = []
     for t in query.patterns:
         n = rows.get(t.p, 0.0 if rows else every) if not is_variable(t.p) else every
-        constants = sum(not is_variable(x) for x in (t.s, t.o))
-        parts.append((n * SELECTIVITY**constants, scan_triples(triples, t)))
+        n *= SELECTIVITY ** sum(not is_variable(x) for x in (t.s, t.o))
+        parts.append((Part.of(n, *t.variables), scan_triples(triples, t)))
     return project(join_all(parts), query.projected)
 
 

@@ -46,8 +46,9 @@ def class_node_count(triples: DataFrame) -> DataFrame:
 
 
 def table_stats(placed: DataFrame) -> DataFrame:
-    """(part_id, p, rows) of placed triples (s, p, o, part_id)."""
-    return placed.groupBy("part_id", "p").agg(F.count("*").alias("rows"))
+    """(part_id, p, rows, subjects, objects) of placed triples (s, p, o, part_id); distinct terms are approximate."""
+    distinct = [F.approx_count_distinct(c).alias(n) for c, n in (("s", "subjects"), ("o", "objects"))]
+    return placed.groupBy("part_id", "p").agg(F.count("*").alias("rows"), *distinct)
 
 
 def partition_stats(placed: DataFrame) -> DataFrame:

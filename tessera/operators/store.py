@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tessera.functions.terms import RDF_TYPE, is_literal
-from tessera.operators.graph import instance_edges, instance_types, literals
-from tessera.operators.stats import partition_stats, table_stats
+from tessera.operators.graph import instance_types
+from tessera.operators.lineage import cut
+from tessera.operators.stats import table_stats
 
 #: Rows of the class index up to which it is broadcast; beyond, it is joined like any table.
 BROADCAST_ROWS = 100_000
@@ -21,29 +22,31 @@ def _small(index: DataFrame) -> DataFrame:
 
 
 def node_partitions(triples: DataFrame, class_index: DataFrame) -> DataFrame:
-    """(uri, part_id), distinct: the partitions of all classes of a node."""
-    return instance_types(triples).join(_small(class_index), "class").select("uri", "part_id").distinct()
+    """(uri, parts array): the partitions of all classes of a node."""
+    own = instance_types(triples).join(_small(class_index), "class")
+    return own.groupBy("uri").agg(F.collect_set("part_id").alias("parts"))
 
 
 def place(triples: DataFrame, class_index: DataFrame, residual: int) -> DataFrame:
-    """(s, p, o, part_id), distinct.
+    """(s, p, o, part_id), a set if triples are one.
 
     An edge goes to every partition of either end, a literal and a type to every partition of the subject. What has
     no partition that way (untyped nodes) goes to the residual one, so no triple is lost. Every triple that touches an
-    instance of a class is then in each partition that has the class.
+    instance of a class is then in each partition that has the class. The partitions of a triple are joined as arrays,
+    so no distinct over the copies is needed.
     """
-    where = node_partitions(triples, class_index)
-    own = triples.select("s", "p", "o").distinct()
-    by_subject = own.join(where, own.s == where.uri, "left").select("s", "p", "o", "part_id")
-    edges = own.where((F.col("p") != RDF_TYPE) & ~is_literal(F.col("o")))
-    by_object = edges.join(where, edges.o == where.uri).select("s", "p", "o", "part_id")
-    placed = by_subject.where("part_id is not null").unionByName(by_object)
-    homeless = by_subject.where("part_id is null").drop("part_id")
-    reached = where.select(F.col("uri").alias("o"))
-    stray = homeless.where((F.col("p") == RDF_TYPE) | is_literal(F.col("o"))).unionByName(
-        homeless.where((F.col("p") != RDF_TYPE) & ~is_literal(F.col("o"))).join(reached, "o", "left_anti").select("s", "p", "o")
-    )
-    return placed.distinct().unionByName(stray.withColumn("part_id", F.lit(residual)))
+    where = cut(node_partitions(triples, class_index))
+    subject = where.select(F.col("uri").alias("s"), F.col("parts").alias("parts_s"))
+    target = where.select(F.col("uri").alias("o"), F.col("parts").alias("parts_o"))
+    is_edge = (F.col("p") != RDF_TYPE) & ~is_literal(F.col("o"))
+    none = F.array().cast("array<int>")
+    own = triples.select("s", "p", "o")
+    edges = own.where(is_edge).join(subject, "s", "left").join(target, "o", "left")
+    both = F.array_union(F.coalesce("parts_s", none), F.coalesce("parts_o", none))
+    rest = own.where(~is_edge).join(subject, "s", "left")
+    placed = edges.select("s", "p", "o", both.alias("parts")).unionByName(rest.select("s", "p", "o", F.coalesce("parts_s", none).alias("parts")))
+    parts = F.when(F.size("parts") > 0, F.col("parts")).otherwise(F.array(F.lit(residual)))
+    return placed.select("s", "p", "o", F.explode(parts).alias("part_id"))
 
 
 def node_index(triples: DataFrame) -> DataFrame:
@@ -102,7 +105,7 @@ class Store:
 
     @property
     def stats(self) -> DataFrame:
-        """(part_id, p, rows)."""
+        """(part_id, p, rows, subjects, objects)."""
         return self._read("stats")
 
     def exists(self) -> bool:
@@ -113,25 +116,20 @@ class Store:
             return False
 
 
-def write_store(spark: SparkSession, path: str, triples: DataFrame, class_index: DataFrame, residual: int, files_rows: int = 4_000_000) -> Store:
+def write_store(spark: SparkSession, path: str, triples: DataFrame, class_index: DataFrame, residual: int) -> Store:
     """Writes a store unless a complete one is there.
 
-    One job writes all vertical partitions: rows are dealt by partition and predicate, large ones over several files by
-    a hash of the subject, and files are sorted by subject so that row groups can be skipped.
+    One job writes all vertical partitions: rows are rebalanced by partition and predicate, so that Spark splits large
+    tables over several files and gathers small ones, and files are sorted by subject so that row groups can be skipped.
     """
     store = Store(spark, path)
     if store.exists():
         return store
-    placed = place(triples, class_index, residual)
-    sized = placed.withColumn("slice", F.lit(0))
-    stats = table_stats(placed)
-    slices = stats.select("part_id", "p", F.ceil(F.col("rows") / files_rows).cast("int").alias("n"))
-    sized = placed.join(_small(slices), ["part_id", "p"]).withColumn("slice", F.pmod(F.xxhash64("s"), F.col("n"))).drop("n")
-    sized = sized.repartition("part_id", "p", "slice").sortWithinPartitions("part_id", "p", "s", "o").drop("slice")
-    sized.write.mode("overwrite").partitionBy("part_id", "p").parquet(f"{path}/placed")
+    placed = place(triples, class_index, residual).hint("rebalance", "part_id", "p").sortWithinPartitions("part_id", "p", "s", "o")
+    placed.write.mode("overwrite").partitionBy("part_id", "p").parquet(f"{path}/placed")
     class_index.write.mode("overwrite").parquet(f"{path}/class_index")
     node_index(triples).repartitionByRange("uri").sortWithinPartitions("uri").write.mode("overwrite").parquet(f"{path}/node_index")
     vertical_index(store.placed).repartitionByRange("uri").sortWithinPartitions("uri").write.mode("overwrite").parquet(f"{path}/vertical_index")
     table_stats(store.placed).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
-    partition_stats(store.placed).coalesce(1).write.mode("overwrite").parquet(f"{path}/complete")
+    store.stats.groupBy("part_id").agg(F.sum("rows").alias("rows")).write.mode("overwrite").parquet(f"{path}/complete")
     return store

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.terms import is_variable, table_name, variable_name
-from tessera.operators.bgp import SELECTIVITY, join_all, project, scan_triples
+from tessera.operators.bgp import join_all, project, scan_triples
 from tessera.operators.store import Store
-from tessera.plans.order import join_order, spanning_conditions
+from tessera.plans.order import Part, join_order, spanning_conditions
 from tessera.plans.sparql import BGPQuery, TriplePattern, discovery_terms, parse
 from tessera.sources.ntriples import list_files
 
@@ -102,14 +102,24 @@ class Engine:
             df = df.where(F.col("p").isin(names) if names else F.lit(False))
         return df.select("s", "p", "o")
 
-    def estimates(self, query: BGPQuery, parts: dict[int, int | None]) -> list[float]:
-        stats = {(r.part_id, r.p): r.rows for r in self.store.stats.where(F.col("p").isin([t.p for t in query.patterns])).collect()}
+    def estimates(self, query: BGPQuery, parts: dict[int, int | None]) -> list[Part]:
+        """For each pattern its rows and distinct terms, from the stored statistics of the tables that it reads."""
+        stats = {(r.part_id, r.p): r for r in self.store.stats.where(F.col("p").isin([t.p for t in query.patterns])).collect()}
         total = self.partition_rows()
         out = []
         for k, t in enumerate(query.patterns):
             own = [parts[k]] if parts[k] is not None else list(total)
-            n = float(sum(total.get(x, 0) if is_variable(t.p) else stats.get((x, t.p), 0) for x in own))
-            out.append(n * SELECTIVITY ** sum(not is_variable(x) for x in (t.s, t.o)))
+            if is_variable(t.p):
+                n = subjects = objects = float(sum(total.get(x, 0) for x in own))
+            else:
+                found = [stats[x, t.p] for x in own if (x, t.p) in stats]
+                n, subjects, objects = (float(sum(r[c] for r in found)) for c in ("rows", "subjects", "objects"))
+            if not is_variable(t.s):
+                n /= max(subjects, 1.0)
+            if not is_variable(t.o):
+                n /= max(objects, 1.0)
+            ends = {variable_name(v): min(d, max(n, 1.0)) for v, d in ((t.p, n), (t.o, objects), (t.s, subjects)) if is_variable(v)}
+            out.append(Part(n, ends))
         return out
 
     def solutions(self, text: str, warm: bool = False) -> DataFrame:
@@ -177,12 +187,13 @@ class Engine:
     def translated(self, text: str, name: str = "query") -> str:
         """The plan as a text artifact: name, SQL over vertical partitions, their tables, and the number of patterns.
 
-        FROM goes by ascending rows; each variable is tied by N - 1 equalities round its smallest table.
+        FROM goes by join order; each variable is tied by N - 1 equalities round its smallest table.
         """
         query = parse(text)
         parts = self.discover(query)
-        rows = self.estimates(query, parts)
-        order = join_order([(rows[k], frozenset(t.variables)) for k, t in enumerate(query.patterns)])
+        estimates = self.estimates(query, parts)
+        rows = [e.rows for e in estimates]
+        order = join_order(estimates)
         literal = lambda v: "'" + v.replace("'", "''") + "'"
         froms, tables = [], []
         for k in order:
