@@ -181,17 +181,27 @@ class RelationalGraph:
     def predicates(self) -> list[str]:
         return list(dict.fromkeys(m.predicate for m in self.mapped))
 
-    def pairs(self, m: Mapping) -> DataFrame:
-        """(s, o) of one mapping as terms, a set; rows with a null key or value make no triple."""
-        df = self.table(m.table).select(m.s.raw().alias("s"), m.o.raw().alias("o")).where("s is not null and o is not null")
-        df = df if m.unique else df.distinct()
-        return df.select(m.s.term.full(F.col("s")).alias("s"), m.o.term.full(F.col("o")).alias("o"))
+    def _rows(self, ms: list[Mapping]) -> DataFrame:
+        """(s, p, o) of mappings with one subject side: one scan, and where rows may repeat one distinct over raw keys."""
+        side = ms[0].s
+        keys = [F.col(k) for k in side.keys] or [side.raw().alias("__s")]
+        df = self.table(ms[0].table).select(*keys, *[m.o.raw().alias(f"__o{k}") for k, m in enumerate(ms)])
+        df = df if ms[0].unique else df.distinct()
+        subject = side.term.full(F.expr(side.expr) if side.keys else F.col("__s"))
+        each = [F.struct(F.lit(m.predicate).alias("p"), m.o.term.full(F.col(f"__o{k}")).alias("o")) for k, m in enumerate(ms)]
+        return df.select(subject.alias("s"), F.explode(F.array(*each)).alias("t")).select("s", "t.*").where("s is not null and o is not null")
 
     def triples(self, *only: str) -> DataFrame:
-        """(s, p, o) of all predicates, or of those named. A set without a distinct over the whole: mappings don't overlap."""
-        own = [m for m in self.mapped if not only or m.predicate in only]
-        parts = [self.pairs(m).select("s", F.lit(m.predicate).alias("p"), "o") for m in own]
-        return reduce(DataFrame.unionByName, parts)
+        """(s, p, o) of all predicates, or of those named. A set without a distinct over the whole: mappings don't overlap.
+
+        Rows with a null key or value make no triple.
+        """
+        groups: dict[tuple, list[Mapping]] = {}
+        for m in self.mapped:
+            if not only or m.predicate in only:
+                alone = None if m.unique or m.functional else m.predicate
+                groups.setdefault((m.table, m.s, alone), []).append(m)
+        return reduce(DataFrame.unionByName, [self._rows(ms) for ms in groups.values()])
 
     def schema_triples(self) -> DataFrame:
         """(s, p, o) of the classes: domain, predicate, range."""
