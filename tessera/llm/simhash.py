@@ -1,6 +1,6 @@
 """SimHash near-duplicates: fingerprints, and a vantage-point tree over them that finds every close pair.
 
-The tree is fitted on a bounded sample (SAMPLE fingerprints, a documented parameter); every fingerprint is indexed.
+The tree is fitted on a bounded sample (about SAMPLE fingerprints by hash, twice that at most; a documented parameter); every fingerprint is indexed.
 A node has a vantage point v and a radius mu. A fingerprint x with d(x, v) <= mu goes to the inner branch, others to
 the outer. By the triangle inequality a partner within r of an inner x can lie in the outer branch only if
 d(x, v) > mu - r, so just those boundary points are sent to the outer branch as well. Hence any two fingerprints
@@ -132,7 +132,9 @@ def close_links(distinct: DataFrame, radius: int = MAX_BITS, sample: int = SAMPL
     """
     n = distinct.count()
     depth = max(0, min(math.ceil(math.log2(max(n, 1) / leaf)), int(math.log2(max(sample, 64) / 16))))
-    rows = distinct.orderBy(F.xxhash64("fp")).limit(sample).collect() if depth else []
+    # a share of the fingerprints by hash, about `sample` of them
+    share = F.xxhash64("fp") < F.lit(min(2**63 - 1, sample * 2**64 // max(n, 1) - 2**63))
+    rows = distinct.where(share).select("fp").limit(2 * sample).collect() if depth else []
     tree = VantageTree(np.array([r.fp for r in rows], dtype=np.int64).view(np.uint64), depth, radius)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
