@@ -27,6 +27,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a narrow table (ids, hosts) up to which it is broadcast. They are counted; larger ones are joined by shuffles.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, checkpointed, and marked for a broadcast if it has at most that many rows."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that extra columns of the caller can't clash with working names."""
     return df.select(*[F.col(f"`{n}`") for n in names])

@@ -8,15 +8,17 @@ as found if that is within e. Both sides are lower-cased and white space is fold
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import only
+from tessera.llm.common import only, small
 
 RATE = 0.05
 #: Characters of benchmark items that one pass over the documents takes; more items make more passes.
@@ -101,6 +103,17 @@ class Matcher:
         return out
 
 
+#: The matcher of a Python worker, kept from task to task.
+_HELD: dict[str, Matcher] = {}
+
+
+def _matcher(key: str, held: Broadcast, rate: float) -> Matcher:
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = Matcher(held.value, rate)
+    return _HELD[key]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(id_col, item_col, distance, edit_budget, end_at) for every row of docs and item that occurs in it.
 
@@ -117,9 +130,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     def scan(block: int) -> DataFrame:
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).orderBy("item", "text")
         held = docs.sparkSession.sparkContext.broadcast([(r.item, normal(r.text)) for r in own.collect()])
+        key = uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(held.value, rate)
+            matcher = _matcher(key, held, rate)
             for batch in batches:
                 rows = []
                 for doc, text in zip(batch.column(0), batch.column(1)):
@@ -137,5 +151,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents in which a benchmark item occurs. Rows with null ids that contain one go, all of them."""
-    bad = contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("__bad")).distinct()
+    bad = small(contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("__bad")).distinct())
     return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col("__bad")), "left_anti")

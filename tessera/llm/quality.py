@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import cut, only, written
+from tessera.llm.common import cut, only, small, written
 
 #: A host is rejected at a shrunken failure rate of a rule above this.
 HOST_LIMIT = 0.75
@@ -105,7 +105,8 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     """docs without the rejected documents. The counted documents are written once, so that texts are counted once."""
     stats = docs.withColumn("__c", count_text(F.col(f"`{text_col}`")))
     stats = written(stats)
-    hosts = host_verdicts(stats.select(F.col(f"`{host_col}`").alias("source"), "__c.*")).where("host_rejected").select(F.col("source").alias("__host"))
+    verdicts = host_verdicts(stats.select(F.col(f"`{host_col}`").alias("source"), "__c.*"))
+    hosts = small(verdicts.where("host_rejected").select(F.col("source").alias("__host")))
     c = {name: F.col(f"__c.{name}") for name in COUNTS}
     base = (c["n_words"] < 10) | (100 * c["n_repeat_words"] > 20 * c["n_words"])
     good = stats.where(~base).join(hosts, F.col(f"`{host_col}`").eqNullSafe(F.col("__host")), "left_anti")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, cut, only
+from tessera.llm.common import connected_components, cut, only, small
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -180,5 +180,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """docs with one document of each group of near-duplicates, that with the smallest id; rows with a null id go
     if their component has a document with an id, and stay otherwise."""
     found = near_duplicates(docs, id_col, text_col)
-    kept = found.where(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("kept_id")).distinct()
-    return docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("kept_id")), "left_semi")
+    first = F.max(F.col("component_id").eqNullSafe(F.col(id_col)))
+    gone = small(found.groupBy(F.col(id_col).alias("__gone")).agg(first.alias("first")).where("not first").select("__gone"))
+    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")), "left_anti")
