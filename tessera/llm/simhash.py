@@ -171,7 +171,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = linked.withColumnRenamed("node", "fp").join(firsts, "fp")
     component = linked.select("fp", "root").join(linked.groupBy("root").agg(F.min("first").alias("least")), "root")
     label = firsts.join(component.select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return fps.join(label, "fp").select(
+    # computed apart from the join, so that Spark can split the partition of a fingerprint that very many rows have
+    return fps.join(cut(label), "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
