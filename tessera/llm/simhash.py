@@ -76,18 +76,18 @@ class VantageTree:
             else:
                 self.points[node] = rng.integers(0, 2**63, dtype=np.uint64)
             d = np.bitwise_count(own ^ self.points[node]).astype(np.int64)
-            held[2 * node + 1], held[2 * node + 2] = own[d <= self.mu[node]], own[d > self.mu[node]]
+            # the branches are fitted to what they get, the boundary's copies included
+            held[2 * node + 1], held[2 * node + 2] = own[d <= self.mu[node]], own[d > self.mu[node] - self.radius]
 
     def _choose(self, own: np.ndarray, rng: np.random.Generator) -> tuple[np.uint64, int]:
-        """Of eight candidates, the point and radius with the fewest sampled points near the boundary, for halves that are even enough."""
+        """Of eight candidates, the point and radius with the least sum of squares of what the two branches get."""
         best = None
         for v in rng.choice(own, min(8, len(own)), replace=False):
             d = np.bitwise_count(own ^ v)
-            count = np.cumsum(np.bincount(d, minlength=65))
-            for mu in range(max(0, int(np.median(d)) - 2), int(np.median(d)) + 3):
-                inner = count[mu] / len(own)
-                near = (count[mu] - (count[mu - self.radius] if mu >= self.radius else 0)) / len(own)
-                cost = near + 2 * max(0.0, abs(inner - 0.5) - 0.1)
+            within = np.cumsum(np.bincount(d, minlength=65))
+            for mu in range(max(0, int(np.median(d)) - 2), min(64, int(np.median(d)) + 6)):
+                outer = len(own) - (within[mu - self.radius] if mu >= self.radius else 0)
+                cost = float(within[mu]) ** 2 + float(outer) ** 2
                 if best is None or cost < best[0]:
                     best = (cost, v, mu)
         return best[1], best[2]
