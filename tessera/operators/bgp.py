@@ -152,6 +152,9 @@ def _scan_star(graph: RelationalGraph, patterns: list[TriplePattern], ms: list[M
 def _scan_union(graph: RelationalGraph, pattern: TriplePattern, ms: list[Mapping]) -> Bound:
     """Branches of one pattern. Where all read a variable by one template it stays raw. The branches give different
     triples, so the union of their sets is a set."""
+    if len(ms) > 1 and pattern.mask == "VVV" and len(pattern.variables) == 3:
+        names = pattern.variables
+        return Bound(graph.rows_of(ms).toDF(*names), dict.fromkeys(names, FULL))
     parts = [_scan_star(graph, [pattern], [m]) for m in ms]
     if not parts:
         return graph.empty(dict.fromkeys(pattern.variables, FULL))

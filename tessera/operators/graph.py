@@ -1,4 +1,7 @@
-"""Graph views of triples: typed vertices, labels, edges, and the schema graph."""
+"""Graph views of triples: typed vertices, labels, edges, and the schema graph.
+
+Triples are a set, as all sources give them, so the views of resources need no distinct of their own.
+"""
 
 from __future__ import annotations
 
@@ -9,17 +12,17 @@ from tessera.functions.terms import RDF_TYPE, is_literal
 
 
 def instance_types(triples: DataFrame) -> DataFrame:
-    """(uri, class), distinct."""
-    return triples.where(F.col("p") == RDF_TYPE).select(F.col("s").alias("uri"), F.col("o").alias("class")).distinct()
+    """(uri, class), a set."""
+    return triples.where(F.col("p") == RDF_TYPE).select(F.col("s").alias("uri"), F.col("o").alias("class"))
 
 
 def instance_edges(triples: DataFrame) -> DataFrame:
-    """(s, p, o) between resources, types left out, distinct."""
-    return triples.where((F.col("p") != RDF_TYPE) & ~is_literal(F.col("o"))).select("s", "p", "o").distinct()
+    """(s, p, o) between resources, types left out, a set."""
+    return triples.where((F.col("p") != RDF_TYPE) & ~is_literal(F.col("o"))).select("s", "p", "o")
 
 
 def literals(triples: DataFrame) -> DataFrame:
-    return triples.where((F.col("p") != RDF_TYPE) & is_literal(F.col("o"))).select("s", "p", "o").distinct()
+    return triples.where((F.col("p") != RDF_TYPE) & is_literal(F.col("o"))).select("s", "p", "o")
 
 
 def instance_vertices(triples: DataFrame) -> DataFrame:

@@ -196,12 +196,15 @@ class RelationalGraph:
 
         Rows with a null key or value make no triple.
         """
+        return self.rows_of([m for m in self.mapped if not only or m.predicate in only])
+
+    def rows_of(self, ms: list[Mapping]) -> DataFrame:
+        """(s, p, o) of some mappings, a scan for each table and subject."""
         groups: dict[tuple, list[Mapping]] = {}
-        for m in self.mapped:
-            if not only or m.predicate in only:
-                alone = None if m.unique or m.functional else m.predicate
-                groups.setdefault((m.table, m.s, alone), []).append(m)
-        return reduce(DataFrame.unionByName, [self._rows(ms) for ms in groups.values()])
+        for m in ms:
+            alone = None if m.unique or m.functional else m.predicate
+            groups.setdefault((m.table, m.s, alone), []).append(m)
+        return reduce(DataFrame.unionByName, [self._rows(own) for own in groups.values()])
 
     def schema_triples(self) -> DataFrame:
         """(s, p, o) of the classes: domain, predicate, range."""
