@@ -56,3 +56,14 @@ def quote(text: Column) -> Column:
     escaped = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     escaped = F.replace(F.replace(escaped, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
     return F.concat(F.lit('"'), escaped, F.lit('"'))
+
+
+def term_id(term: Column) -> Column:
+    """A 64-bit id of a term: equal terms have equal ids. Operators join on the terms themselves."""
+    return F.xxhash64(term)
+
+
+def is_valid_triple(s: Column, p: Column, o: Column) -> Column:
+    """Whether three terms make a triple: a resource, an IRI, and a resource or literal, none null or empty."""
+    resource = lambda t: t.rlike(r"^(<[^>]*>|_:.+)$")
+    return F.coalesce(resource(s) & p.rlike(r"^<[^>]*>$") & (resource(o) | is_literal(o)), F.lit(False))

@@ -9,12 +9,12 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from campus import TRIPLES, brute, ex
-from tessera.functions.terms import RDF_TYPE, as_iri, is_variable, mangle, mangled, partition_label, table_name
+from tessera.functions.terms import RDF_TYPE, as_iri, is_valid_triple, is_variable, mangle, mangled, partition_label, table_name, term_id
 from tessera.operators import bgp, centrality
 from tessera.operators.cluster import Ranked, assign_classes
 from tessera.plans.order import Part, join_order, joined, spanning_conditions
 from tessera.plans.sparql import SparqlSyntaxError, TriplePattern, UnsupportedSparql, discovery_terms, parse
-from tessera.sources import ntriples
+from tessera.sources import files, ntriples
 from tessera.sources.relational import RelationalGraph
 from tessera.streaming.ingest import ingest
 
@@ -112,6 +112,30 @@ def test_small_tables(spark, tmp_path):
     assert len(ntriples.list_files(str(tmp_path))) > 1
 
 
+def test_files(spark, tmp_path):
+    base = str(tmp_path / "d")
+    spark.range(3).write.parquet(f"{base}/a")
+    spark.range(3).write.parquet(f"{base}/b")
+    assert files.exists(spark, base) and files.names(spark, base) == ["a", "b"] and files.count_folders(spark, base) == 2 and files.size(spark, base) > 100
+    assert files.move(spark, f"{base}/a", f"{base}/c") and files.remove(spark, f"{base}/b") and files.names(spark, base) == ["c"]
+    assert not files.exists(spark, f"{base}/x") and files.names(spark, f"{base}/x") == [] and files.size(spark, f"{base}/x") == 0
+    assert not files.remove(spark, f"{base}/x") and files.count_folders(spark, f"{base}/x") == 0
+    (tmp_path / "q").mkdir()
+    (tmp_path / "q" / "one").write_text("SELECT ?x { ?x <p> \"it's\" }")
+    (tmp_path / "q" / "two").write_text("SELECT ?x { ?x <p> ?y . ?y <q> <z> }")
+    (tmp_path / "q" / "bad").write_text("ASK { ?x <p> ?y }")
+    got = files.queries_by_size(str(tmp_path / "q"))
+    assert {k: [f.rsplit("/", 1)[1] for f in v] for k, v in got.items()} == {0: ["bad"], 1: ["one"], 2: ["two"]}
+    assert [files.range_of(["b", "d"], k) for k in "abcde"] == [0, 1, 1, 2, 2]
+
+
+def test_valid_triples(spark):
+    rows = [("<s>", "<p>", "<o>"), ("_:b", "<p>", '"x'), ("s", "<p>", "<o>"), ("<s>", "_:p", "<o>"), ("<s>", "<p>", "o"), (None, "<p>", "<o>"), ("<s>", "<p>", "")]
+    df = spark.createDataFrame(rows, "s string, p string, o string")
+    got = df.select(is_valid_triple(F.col("s"), F.col("p"), F.col("o")).alias("v"), term_id(F.col("p")).alias("i")).collect()
+    assert [r.v for r in got] == [True, True] + [False] * 5 and got[0].i == got[1].i != got[3].i
+
+
 def test_streaming_ingest(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.nt").write_text("<s> <p> <o> .\n<s> <p> <o> .\n")
