@@ -50,8 +50,9 @@ BOILERPLATE = frozenset(
     "recommendations comment comments commentlist disqus reply replies respond pagination pager widget toolbar search masthead "
     "skip tags outbrain taboola disclaimer contentinfo complementary alert navigation hidden".split()
 )
-#: Dropped outside an article only.
+#: Dropped outside an article only, and not where the class says that it is an article's own.
 HEADERS = frozenset(["header", "head", "banner", "masthead", "topbar", "logo"])
+OWN_HEADER = frozenset(["article", "post", "entry", "story", "content"])
 
 TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>)""", re.S)
 OPEN_TAG = re.compile(r"</?[a-zA-Z]")
@@ -107,7 +108,7 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, bool, bool, str]]]:
         if attributes.strip(" /\t\r\n"):
             kind, words, hidden = _attributes(attributes)
         inside = inside or tag in ARTICLE and not dropped or "articlebody" in words or ("main" in words and tag == "div")
-        boiler = tag in DROPPED or hidden or bool(words & BOILERPLATE) or not inside and (tag == "header" or bool(words & HEADERS))
+        boiler = tag in DROPPED or hidden or bool(words & BOILERPLATE) or not inside and not words & OWN_HEADER and (tag == "header" or bool(words & HEADERS))
         if tag in ("body", "html"):
             boiler = False
         if tag in BLOCK:

@@ -30,6 +30,7 @@ CASES = {
     "hidden": ('<p hidden>no</p><div style="display: none">no</div><p aria-hidden="true">no</p><p>x</p>', "x"),
     "doctype": ('<!DOCTYPE html><?xml version="1.0"?><html><head><title>no</title><meta charset=x></head><body>x</body></html>', "x"),
     "header in article": ("<article><header><h1>T</h1></header><p>x</p></article>", "T\nx"),
+    "header of a post": ('<div class="site-header">s</div><div class="post"><div class="post-header"><h1>T</h1></div><p>x</p></div>', "T\nx"),
     "spaces": ("<p>a&nbsp;&nbsp;b c</p><p> </p><p>&#32;</p>", "a b c"),
     "empty": ("", ""),
     "upper case": ("<ARTICLE><P>x</P><NAV>n</NAV></ARTICLE>", "x"),
