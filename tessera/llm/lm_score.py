@@ -26,7 +26,7 @@ from tessera.llm.common import only
 ORDER = 2
 ALPHA = 0.4
 #: Characters of a chunk, and chunks for each bucket of the count table: both bound what a task holds.
-CHUNK_CHARS, PER_BUCKET = 4_000_000, 4
+CHUNK_CHARS, PER_BUCKET = 4_000_000, 2
 SEED = 42
 #: The key under which a chunk's number of words is counted.
 ALL = np.uint64(0)
