@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the Python workers this package, once for each application; the driver's file server hands it out.
+
+    Operators whose functions run in workers call it, so that they don't depend on the workers' path.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        _SHIPPED.add(context.applicationId)
+        top = Path(__file__).resolve().parent.parent
+        archive = Path(tempfile.mkdtemp(prefix="tessera-package-")) / "tessera.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for f in sorted(top.rglob("*.py")):
+                out.write(f, f"{top.name}/{f.relative_to(top)}")
+        context.addPyFile(str(archive))
+
+
 def with_checkpoint_dir(spark: SparkSession) -> None:
     """The cluster names the shared folder in spark.checkpoint.dir; only where it is unset (tests) one is made."""
     context = spark.sparkContext

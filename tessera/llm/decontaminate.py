@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import only, small
+from tessera.llm.common import only, ship, small
 
 RATE = 0.05
 #: Characters of benchmark items that one pass over the documents takes; more items make more passes.
@@ -124,6 +124,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = only(benchmark, item_col, item_text_col).toDF("item", "text").where("text is not null").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
+    ship(docs.sparkSession)
     pair = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = "id long, item long, distance long, edit_budget long, end_at long"
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, only
+from tessera.llm.common import cut, only, ship
 
 #: A node is template if this share of at least LEAST_PAGES other pages has the reference's text there.
 CONSTANT, LEAST_PAGES = 0.9, 3
@@ -327,6 +327,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     A null or empty html gives an empty text. A page whose url is null or has no host has no wrapper, only the rules.
     Repeated rows stay rows. An empty table gives none.
     """
+    ship(pages.sparkSession)
     own = only(pages, id_col, url_col, html_col).toDF("page_id", "url", "html").withColumn("host", host_of(F.col("url").cast("string")))
     learned = wrappers(own.select("host", "page_id", "html"))
 

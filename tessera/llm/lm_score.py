@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import only
+from tessera.llm.common import only, ship
 
 ORDER = 2
 ALPHA = 0.4
@@ -115,6 +115,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     total = docs.agg(F.sum(F.length(F.col(f"`{text_col}`")))).first()[0] or 0
     chunks = max(1, math.ceil(total / chunk_chars))
     shift = 64 - max(1, math.ceil(math.log2(chunks / PER_BUCKET)) if chunks > PER_BUCKET else 1)
+    ship(docs.sparkSession)
     own = only(docs, id_col, text_col).toDF("id", "text").select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     dealt = own.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int"))
 

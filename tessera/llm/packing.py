@@ -24,6 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import ship
+
 LENGTH = 2_048
 GROUP = 4_194_304
 EOS = 1
@@ -155,5 +157,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             rows, seq = packed(held, seq)
             yield batch_of(held, rows, base)
 
+    ship(docs.sparkSession)
     pair = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return pair.mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import cut, only, small, written
+from tessera.llm.common import cut, only, ship, small, written
 
 #: A host is rejected at a shrunken failure rate of a rule above this.
 HOST_LIMIT = 0.75
@@ -96,6 +96,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     A null text counts as empty, without words, and fails. A null host is a host like any other. Repeated rows count
     each. An empty table gives none.
     """
+    ship(docs.sparkSession)
     stats = only(docs, id_col, host_col, text_col).toDF("id", "source", "text").select("id", "source", count_text("text").alias("c"))
     out = _judged(cut(stats.select("id", "source", "c.*")))
     return out.select(F.col("id").alias(id_col), *COUNTS[:-1], "base_failed", "kept")
@@ -103,6 +104,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """docs without the rejected documents. The counted documents are written once, so that texts are counted once."""
+    ship(docs.sparkSession)
     stats = docs.withColumn("__c", count_text(F.col(f"`{text_col}`")))
     stats = written(stats)
     verdicts = host_verdicts(stats.select(F.col(f"`{host_col}`").alias("source"), "__c.*"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, cut, only, small
+from tessera.llm.common import connected_components, cut, only, ship, small
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -56,6 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 fps = np.array([fingerprint(t.as_py() or b"", shingle) for t in texts], dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
+    ship(docs.sparkSession)
     pair = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
     return pair.mapInArrow(run, "id long, fp long")
 
@@ -143,6 +144,7 @@ def close_links(distinct: DataFrame, radius: int = MAX_BITS, sample: int = SAMPL
             row, node = tree.leaves(fps.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(fps[row])], names=["leaf", "fp"])
 
+    ship(distinct.sparkSession)
     routed = distinct.select("fp").mapInArrow(route, "leaf long, fp long")
     # at most 2 ** depth leaves, which the sample's size bounds
     sizes = routed.groupBy("leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
