@@ -27,16 +27,29 @@ SEED = 42
 SAMPLE = 65_536
 #: Fingerprints of a leaf that the depth aims at, and the most that one task compares before a leaf is dealt in blocks.
 LEAF, BLOCK = 1_024, 16_384
+#: Of keep_one_similar: words of a shingle, and the least Jaccard similarity of near-duplicates.
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
+#: MinHash bands and rows: a pair at SIMILARITY shares no band with probability (1 - 0.8 ** 4) ** 32, about 5e-8.
+BANDS, ROWS = 32, 4
+#: Documents and shingles of a candidate group that one task compares before the group is dealt in blocks.
+NEAR_BLOCK, NEAR_SHINGLES = 64, 1_000_000
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash of a UTF-8 text. bytes.lower() and bytes.split() know ASCII only, as asked for."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of a UTF-8 text's shingles in order. bytes.lower() and bytes.split() know ASCII only, as asked for."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     grams = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[k:] for k in range(shingle))))
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(g, SEED) for g in grams], dtype="<u8")
+    return np.array([digest(g, SEED) for g in grams], dtype="<u8")
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of a UTF-8 text."""
+    h = shingle_hashes(text, shingle)
+    if not len(h):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 65_536):
         part = np.unpackbits(h[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -169,20 +182,122 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = cut(fingerprints(only(docs, id_col, text_col), id_col, text_col, shingle))
     firsts = cut(fps.groupBy("fp").agg(F.min("id").alias("first")))
-    linked = connected_components(close_links(firsts.select("fp"), radius))
+    found = labelled(fps, firsts, close_links(firsts.select("fp"), radius))
+    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def labelled(fps: DataFrame, firsts: DataFrame, links: DataFrame) -> DataFrame:
+    """fps(id, fp) with component_id, the least of firsts(fp, first) over links(a, b) between fps."""
+    linked = connected_components(links)
     linked = linked.withColumnRenamed("node", "fp").join(firsts, "fp")
     component = linked.select("fp", "root").join(linked.groupBy("root").agg(F.min("first").alias("least")), "root")
     label = firsts.join(component.select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
     # computed apart from the join, so that Spark can split the partition of a fingerprint that very many rows have
-    return fps.join(cut(label), "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return fps.join(cut(label), "fp")
+
+
+def min_bands(h: np.ndarray) -> list[int]:
+    """BANDS keys of a set of shingle hashes: two sets share each with probability Jaccard ** ROWS."""
+    factors = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.uint64)
+    times, plus = factors[0] * np.uint64(2) + np.uint64(1), factors[1]
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(h), 4_096):
+        least = np.minimum(least, (np.multiply.outer(times, h[at : at + 4_096]) + plus[:, None]).min(axis=1))
+    raw = least.tobytes()
+    return [xxhash.xxh64_intdigest(raw[8 * ROWS * k : 8 * ROWS * (k + 1)], k) for k in range(BANDS)]
+
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, banded: bool) -> DataFrame:
+    """(id, fp, size, and bands or the set) for every row: fp is the hash of the text's set of 5-word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part, keys, sizes, more, seen = batch.slice(at, 512), [], [], [], {}
+                for text in part.column(1).cast(pa.binary()):
+                    h = np.unique(shingle_hashes(text.as_py() or b"", NEAR_SHINGLE))
+                    keys.append(key := xxhash.xxh3_64_intdigest(h.tobytes()))
+                    sizes.append(len(h))
+                    if banded and key not in seen:
+                        seen[key] = np.array(min_bands(h), np.uint64).view(np.int64)
+                    more.append(seen[key] if banded else h.tobytes())
+                columns = [part.column(0), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int64())]
+                columns.append(pa.array(more, pa.list_(pa.int64()) if banded else pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "size", "bands" if banded else "hashes"])
+
+    ship(docs.sparkSession)
+    pair = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    return pair.mapInArrow(run, "id long, fp long, size long, " + ("bands array<long>" if banded else "hashes binary"))
+
+
+def set_links(keys: np.ndarray, sets: list[np.ndarray], least: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that span the components of sets under Jaccard >= least, by exact intersections of all pairs."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    _, terms = np.unique(np.concatenate(sets), return_inverse=True)
+    owner, starts = np.repeat(np.arange(len(sets)), sizes), np.concatenate([[0], np.cumsum(sizes)])
+    label, mark = np.arange(len(sets)), np.zeros(len(terms), bool)
+    for k in range(len(sets)):
+        mark[:] = False
+        mark[terms[starts[k] : starts[k + 1]]] = True
+        both = np.bincount(owner[mark[terms]], minlength=len(sets))
+        near = both >= least * (sizes + sizes[k] - both) - 1e-9
+        near[k] = True
+        met = np.unique(label[near])
+        label[np.isin(label, met)] = met[0]
+    other = label != np.arange(len(sets))
+    return keys[other], keys[label[other]]
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, firsts: DataFrame, id_col: str, text_col: str, block: int = NEAR_BLOCK) -> DataFrame:
+    """Links (a, b) between sets (fp) that give the same components as all pairs with Jaccard >= SIMILARITY.
+
+    Sets that share a band are candidates; within each component of candidates all pairs are compared exactly. A
+    component of more than `block` documents is dealt into blocks, and each pair of blocks is a task of its own.
+    """
+    bands = cut(rows.select("fp", F.explode("bands").alias("band")).distinct())
+    shared = bands.groupBy("band").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "least")
+    edges = bands.join(shared, "band").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    groups = cut(connected_components(edges).withColumnRenamed("node", "fp").join(firsts, "fp"))
+    count = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / NEAR_SHINGLES)).cast("int")
+    dealt = groups.join(small(groups.groupBy("root").agg(count.alias("n")).where("n > 1")), "root", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    dealt = small(dealt.select("fp", "root", "n", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int").alias("k")))
+    # one document for each set, as far as ids tell documents apart
+    chosen = small(groups.select(F.col("first").alias("__chosen")).distinct())
+    texts = only(docs, id_col, text_col).join(chosen, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__chosen")), "left_semi")
+    sets = _sets(texts, id_col, text_col, False).select("fp", "hashes").join(dealt, "fp")
+    sets = sets.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    sets = sets.select("root", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "fp", "hashes")
+
+    def links(table: pa.Table) -> pa.Table:
+        held = dict(zip(table.column("fp").to_pylist(), table.column("hashes").to_pylist()))
+        a, b = set_links(np.array(list(held), np.int64), [np.frombuffer(x, "<u8") for x in held.values()])
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    return sets.groupBy("root", "i", "j").applyInArrow(links, "a long, b long")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group of near-duplicates, that with the smallest id; rows with a null id go
     if their component has a document with an id, and stay otherwise."""
-    found = near_duplicates(docs, id_col, text_col)
+    return _firsts_only(docs, near_duplicates(docs, id_col, text_col), id_col)
+
+
+def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As keep_one, by the similarity of texts and not by bits of fingerprints.
+
+    Near-duplicates have sets of 5-word shingles with Jaccard >= 0.8, a text of fewer words being one shingle; groups are
+    the components of such pairs. Texts without words are copies of each other. Candidates come from MinHash bands, as
+    the bit radius that 0.8 would need (about 16 of 64) leaves a vantage-point tree nothing to prune.
+    """
+    rows = cut(_sets(only(docs, id_col, text_col), id_col, text_col, True))
+    firsts = cut(rows.groupBy("fp").agg(F.min("id").alias("first"), F.max("size").alias("size")))
+    links = similar_links(docs, rows, firsts, id_col, text_col)
+    found = labelled(rows.select(F.col("id").alias(id_col), "fp"), firsts.select("fp", "first"), links)
+    return _firsts_only(docs, found, id_col)
+
+
+def _firsts_only(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """docs without the rows that aren't the first of their component in found."""
     first = F.max(F.col("component_id").eqNullSafe(F.col(id_col)))
     gone = small(found.groupBy(F.col(id_col).alias("__gone")).agg(first.alias("first")).where("not first").select("__gone"))
     return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")), "left_anti")
