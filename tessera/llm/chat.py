@@ -1,7 +1,8 @@
 """Chat formatting with a grammar round trip, in DataFrame functions alone.
 
 A turn is rendered as `<|im_start|>ROLE\\nTEXT<|im_end|>\\n`. A deterministic parser reads the rendered text back: it
-splits at the start mark, takes the role up to the first newline, and the text up to the end mark that closes the turn.
+splits at the start mark, takes the role up to the first newline, and the text up to the first control string, which is
+the end mark unless the text holds one itself.
 The turns recovered are compared with the source; where they differ, the turns are rendered again with conflicting
 content escaped, and parsed again.
 
@@ -53,8 +54,9 @@ def parse(formatted: Column) -> Column:
 
     def turn(c: Column) -> Column:
         at = F.instr(c, F.lit("\n"))
-        body = F.substring(c, at + 1, F.length(c) - at - len(END) - 1)
-        return F.struct(unescape_role(F.substring(c, F.lit(1), at - 1)).alias("role"), unescape(body).alias("text"))
+        body = F.substring_index(F.substring(c, at + 1, F.length(c)), "<|", 1)
+        role = F.substring_index(F.substring(c, F.lit(1), at - 1), "<|", 1)
+        return F.struct(unescape_role(role).alias("role"), unescape(body).alias("text"))
 
     return F.transform(chunks, turn)
 
