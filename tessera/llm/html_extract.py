@@ -1,30 +1,31 @@
 """Main text of web pages by wrapper induction.
 
-The pages of a host are aligned with the host's reference page (its smallest page_id) by simple tree matching over
-their block elements, where runs of like siblings count as one node. A node whose text is that of the reference in
-nearly all pages that have it is template; a varying one is a content slot. Slots that are boilerplate by their element
-(menus, sidebars, forms, ...) or by class, id or role (adverts, notices, comments, ...) are dropped, and where a page
-marks its article, only blocks inside it count; there a constant block stays, since pages may be copies.
-
-Learning sums small counts by host and node. The references are compact trees; they are broadcast only when their
-measured size is below BROADCAST_BYTES, and joined by host beyond it.
+Every block of every page of a host is counted by its label path and text. A block whose text is on nearly all pages of
+the host that have its path is template; pages count once for each different article, so copies tell nothing. Blocks
+that are boilerplate by their element (menus, sidebars, forms, ...) or by class, id or role (adverts, notices, comments,
+...) are dropped as well, and where a page marks its article, only blocks inside it count. There a
+constant block stays.
+
+Learning sums small counts by host, path and text. The templates are short lists of keys; they are broadcast only when
+their measured size is below BROADCAST_BYTES, and joined by host beyond it.
 """
 
 from __future__ import annotations
 
-import json
+import math
 import re
 from collections.abc import Iterator
 from html import unescape
 from zlib import crc32
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, only, ship
 
-#: A node is template if this share of at least LEAST_PAGES other pages has the reference's text there.
+#: A block is template if this share of the pages with its path, LEAST_PAGES others at least, has its text there.
 CONSTANT, LEAST_PAGES = 0.9, 3
 BROADCAST_BYTES = 32_000_000
 
@@ -238,19 +239,31 @@ def simple_tree_matching(a: Node, b: list) -> tuple[int, list[tuple[Node, list]]
     return 1 + best[-1][0], [(a, b), *best[-1][1]]
 
 
-def page_text(html: str, reference: list | None = None, constant: frozenset[int] = frozenset()) -> str:
-    root, blocks = parse(html)
-    template: set[int] = set()
-    if reference and constant:
-        collapse(root)
-        template = {id(a) for a, b in simple_tree_matching(root, reference)[1] if b[3] in constant}
+def keyed(root: Node, blocks: list[tuple[Node, bool, bool, str]]) -> list[tuple[int, int]]:
+    """For each block, hashes of its label path, and of the path and its text; signed 64-bit numbers."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    paths, todo = {id(root): 0}, [root]
+    while todo:
+        node = todo.pop()
+        for kid in node.kids:
+            paths[id(kid)] = xxhash.xxh64_intdigest(kid.label.encode("utf-8", "surrogatepass"), paths[id(node)])
+        todo.extend(node.kids)
+    return [(signed(paths[id(n)]), signed(xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), paths[id(n)]))) for n, _, _, t in blocks]
+
+
+def counting(blocks: list[tuple[Node, bool, bool, str]]) -> list[bool]:
+    """Whether the rules keep each block."""
     marked = any(inside and not dropped for _, dropped, inside, _ in blocks)
-    kept = [
-        text
-        for node, dropped, inside, text in blocks
-        if not dropped and (inside if marked else True) and (inside or id(merged(node)) not in template)
-    ]
-    return "\n".join(kept)
+    return [not dropped and (inside or not marked) for _, dropped, inside, _ in blocks]
+
+
+def page_text(html: str, constant: frozenset[int] = frozenset()) -> str:
+    root, blocks = parse(html)
+    kept = [k for k, keep in enumerate(counting(blocks)) if keep]
+    if constant:
+        template = {k for k, (_, key) in enumerate(keyed(root, blocks)) if key in constant}
+        kept = [k for k in kept if blocks[k][2] or k not in template]
+    return "\n".join(blocks[k][3] for k in kept)
 
 
 def host_of(url: Column) -> Column:
@@ -269,55 +282,38 @@ def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.R
 
 def _with(pages: DataFrame, small: DataFrame) -> DataFrame:
     """pages with the host's row of small, broadcast behind a check of its size."""
-    size = small.agg(F.sum(F.length("tree") + 100)).first()[0] or 0
+    size = small.agg(F.sum(8 * F.size("constant") + 100)).first()[0] or 0
     return pages.join(F.broadcast(small) if size <= BROADCAST_BYTES else small, "host", "left")
 
 
-def references(pages: DataFrame) -> DataFrame:
-    """(host, tree): the reference page's tree for each host with a name."""
-    first = pages.where("host <> ''").groupBy("host").agg(F.min("page_id").alias("page_id"))
-    own = pages.join(first, ["host", "page_id"], "left_semi").groupBy("host", "page_id").agg(F.min("html").alias("html"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches):
-            trees = [json.dumps(packed(collapse(parse(h)[0]))) for h in _strings(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(trees, pa.string())], names=["host", "tree"])
-
-    return own.select("host", "html").mapInArrow(run, "host string, tree string")
-
-
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, tree, constant array<int>): the reference trees and the numbers of their template nodes."""
-    trees = cut(references(pages))
+    """(host, constant array<long>): the keys of the host's template blocks, for hosts that have any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read: dict[str, list] = {}
-        for batch in _sliced(batches, 1000):
-            counts: dict[tuple[str, int], list[int]] = {}
-            for host, html, tree in zip(*[_strings(c) for c in batch.columns]):
-                if tree not in read:
-                    if len(read) > 500:
-                        read.clear()
-                    read[tree] = numbered(json.loads(tree))
-                pairs = simple_tree_matching(collapse(parse(html)[0]), read[tree])[1]
-                told = [(b[3], a.text() == b[1]) for a, b in pairs if a.texts and b[1] is not None]
-                if all(same for _, same in told):
-                    continue  # the reference itself, or a copy of it, tells nothing
-                for number, same in told:
-                    c = counts.setdefault((host, number), [0, 0])
-                    c[0] += 1
-                    c[1] += same
-            if counts:
-                keys, values = list(counts), list(counts.values())
-                columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32())]
-                columns += [pa.array([v[i] for v in values], pa.int64()) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays(columns, names=["host", "number", "n", "same"])
-
-    joined = _with(pages.where("host <> ''"), trees).select("host", "html", "tree")
-    counted = joined.mapInArrow(run, "host string, number int, n long, same long")
-    summed = counted.groupBy("host", "number").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
-    constant = summed.where((F.col("n") >= LEAST_PAGES) & (F.col("same") >= CONSTANT * F.col("n")))
-    return cut(trees.join(constant.groupBy("host").agg(F.array_sort(F.collect_set("number")).alias("constant")), "host", "left"))
+        for batch in _sliced(batches):
+            hosts, articles, paths, keys = [], [], [], []
+            for host, html in zip(_strings(batch.column(0)), _strings(batch.column(1))):
+                root, blocks = parse(html)
+                own = keyed(root, blocks)
+                # blocks dropped by rule need no template
+                told = sorted({x for x, (_, dropped, _, _) in zip(own, blocks) if not dropped})
+                if told:
+                    text = "\n".join(t for (_, _, _, t), keep in zip(blocks, counting(blocks)) if keep)
+                    hosts.append(host)
+                    articles.append(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1)
+                    paths.append([x for x, _ in told])
+                    keys.append([x for _, x in told])
+            columns = [pa.array(hosts, pa.string()), pa.array(articles, pa.int64()), pa.array(paths, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "article", "paths", "keys"])
+
+    read = pages.where("host <> ''").select("host", "html").mapInArrow(run, "host string, article long, paths array<long>, keys array<long>")
+    once = cut(read.groupBy("host", "article").agg(F.min(F.struct("paths", "keys")).alias("b")).select("host", "b.*"))
+    least = LEAST_PAGES + 1
+    have = once.select("host", F.explode(F.array_distinct("paths")).alias("path")).groupBy("host", "path").agg(F.count("*").alias("n"))
+    blocks = once.select("host", F.explode(F.arrays_zip("paths", "keys")).alias("b")).select("host", F.col("b.paths").alias("path"), F.col("b.keys").alias("key"))
+    same = blocks.groupBy("host", "path", "key").agg(F.count("*").alias("same")).where(F.col("same") >= math.ceil(CONSTANT * least))
+    constant = same.join(have.where(F.col("n") >= least), ["host", "path"]).where(F.col("same") >= CONSTANT * F.col("n"))
+    return cut(constant.groupBy("host").agg(F.array_sort(F.collect_set("key")).alias("constant")))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -329,22 +325,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     ship(pages.sparkSession)
     own = only(pages, id_col, url_col, html_col).toDF("page_id", "url", "html").withColumn("host", host_of(F.col("url").cast("string")))
-    learned = wrappers(own.select("host", "page_id", "html"))
+    learned = wrappers(own.select("host", "html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read: dict[str, list] = {}
         for batch in _sliced(batches):
-            texts = []
-            for html, tree, constant in zip(_strings(batch.column(2)), _strings(batch.column(3)), batch.column(4).to_pylist()):
-                if constant and tree not in read:
-                    if len(read) > 500:
-                        read.clear()
-                    read[tree] = numbered(json.loads(tree))
-                texts.append(page_text(html, read[tree] if constant else None, frozenset(constant or ())))
+            texts = [page_text(html, frozenset(constant or ())) for html, constant in zip(_strings(batch.column(2)), batch.column(3).to_pylist())]
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
     kinds = {f.name: f.dataType.simpleString() for f in own.schema.fields}
-    joined = _with(own, learned).select("page_id", "url", "html", "tree", "constant")
+    joined = _with(own, learned).select("page_id", "url", "html", "constant")
     out = joined.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
     return out.toDF(id_col, url_col, "text", "n_chars")
