@@ -3,8 +3,8 @@
 Every block of every page of a host is counted by its label path and text. A block whose text is on nearly all pages of
 the host that have its path is template; pages count once for each different article, so copies tell nothing. Blocks
 that are boilerplate by their element (menus, sidebars, forms, ...) or by class, id or role (adverts, notices, comments,
-...) are dropped as well, and where a page marks its article, only blocks inside it count. There a
-constant block stays.
+...) are dropped as well, and where a page marks its article, only blocks inside it count. Template blocks go inside the
+article too, unless they are most of it: then the page is a near copy, and they are its text.
 
 Learning sums small counts by host, path and text. The templates are short lists of keys; they are broadcast only when
 their measured size is below BROADCAST_BYTES, and joined by host beyond it.
@@ -262,7 +262,10 @@ def page_text(html: str, constant: frozenset[int] = frozenset()) -> str:
     kept = [k for k, keep in enumerate(counting(blocks)) if keep]
     if constant:
         template = {k for k, (_, key) in enumerate(keyed(root, blocks)) if key in constant}
-        kept = [k for k in kept if blocks[k][2] or k not in template]
+        article = [k for k in kept if blocks[k][2]]
+        if 2 * sum(len(blocks[k][3]) for k in article if k in template) > sum(len(blocks[k][3]) for k in article):
+            template.difference_update(article)  # a near copy of other pages
+        kept = [k for k in kept if k not in template]
     return "\n".join(blocks[k][3] for k in kept)
 
 

@@ -10,6 +10,11 @@ def extracted(spark, htmls):
     return [r.text for r in sorted(html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())]
 
 
+def test_constant_blocks_inside_an_article(spark):
+    got = extracted(spark, [f"<article><h1>T {k}</h1><p>{LONG} {k}</p><p>Read us daily</p></article>" for k in range(6)])
+    assert got == [f"T {k}\n{LONG} {k}" for k in range(6)]
+
+
 def test_near_copies_keep_their_text(spark):
     got = extracted(spark, [f"<article><p>Seen {k} times</p><p>{LONG}</p></article>" for k in range(6)])
     assert got == [f"Seen {k} times\n{LONG}" for k in range(6)]
