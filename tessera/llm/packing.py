@@ -54,7 +54,8 @@ def _byte_of_char() -> dict[str, int]:
 @lru_cache(maxsize=2)
 def encoder(path: str):
     """A function from text to ids for the vocabulary file. Its merges rank as its ids do, so tiktoken gives the ids
-    that tokenizers gives, several times as fast; texts with very long words go through tokenizers itself."""
+    that tokenizers gives, several times as fast; texts with very long words, or with the content of an added token, which
+    is one id there, go through tokenizers itself."""
     import tiktoken
     from tokenizers import Tokenizer
 
@@ -65,9 +66,10 @@ def encoder(path: str):
     ranks = {bytes(byte[c] for c in token): i for token, i in read["model"]["vocab"].items() if token not in special}
     fast = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
 
     def encode(text: str) -> list[int]:
+        if any(t in text for t in special):
+            return whole.encode(text, add_special_tokens=False).ids
         if len(text) > LONG_WORD and (max(map(len, text.split()), default=0) > LONG_WORD or LONG_SPACE.search(text)):
             return whole.encode(text, add_special_tokens=False).ids
         return fast(text)
