@@ -26,6 +26,10 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_score_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"), order=3)
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
@@ -59,7 +63,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_simhash, op2_licenses, op3_html, op4_lm_score, op5_chat_format, op6_secrets, op7_line_dedup, op8_packing,
-        op9_decontaminate, op10_quality, pipeline,
+        op9_decontaminate, op10_quality, pipeline, op4_lm_score_order3,
     )
     return {f.__name__: f for f in own}
 
