@@ -2,7 +2,7 @@
 
 Headers (lines that hold a licence word) and whole files that have such lines are compared with licence templates by
 the cosine of sparse TF-IDF vectors: terms are exploded and joined to the templates' weights, a table of fixed size.
-A file whose whole text is a licence covers its directory; every file takes the licence of its nearest ancestor
+A file whose whole text is a licence, or that is named as a licence and holds a licence's title, covers its directory; every file takes the licence of its nearest ancestor
 directory that has one, by joins on the path's prefixes, unless its own headers name another.
 """
 
@@ -18,6 +18,10 @@ from tessera.llm.common import cut
 
 #: Least cosine of a header line, and of a whole file, to a template.
 HEADER, FILE = 0.5, 0.6
+#: Least cosine of consecutive lines of a licence-named file to a title, and the lines joined at most.
+TITLE, TITLE_LINES = 0.8, 4
+#: Paths of licence files by name.
+NAMED = r"(?i)(^|/)(un)?(licen[cs]e|copying)([-_][a-z0-9.+-]+)?(\.(txt|md|rst|html|lesser))?$"
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 # A line is a header if it has one of these.
 CUE = r"(?i)licen[cs]e|copyright|copyleft|\bspdx\b|redistribut|warrant(y|ies)|public domain|permission is hereby|creative commons|all rights reserved"
@@ -69,6 +73,28 @@ TEMPLATES = {
     "CC0-1.0": ("To the extent possible under law, the author has waived all copyright to this work, CC0 1.0 Universal.", "Licensed under CC0 1.0."),
 }
 
+# What tells whole licence texts apart, their titles or first sentences.
+TITLES = {
+    "Apache-2.0": ("Apache License Version 2.0, January 2004",),
+    "MIT": (TEMPLATES["MIT"][2] + ' (the "Software"), to deal in the Software without restriction',),
+    "GPL-3.0": ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",),
+    "GPL-2.0": ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991",),
+    "LGPL-3.0": ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",),
+    "LGPL-2.1": ("GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",),
+    "AGPL-3.0": ("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",),
+    "BSD-3-Clause": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+        "from this software without specific prior written permission.",
+    ),
+    "MPL-2.0": ("Mozilla Public License Version 2.0",),
+    "ISC": (TEMPLATES["ISC"][0],),
+    "Unlicense": (TEMPLATES["Unlicense"][0],),
+    "CC-BY-4.0": ("Attribution 4.0 International",),
+    "CC-BY-SA-4.0": ("Attribution-ShareAlike 4.0 International",),
+    "CC-BY-NC-4.0": ("Attribution-NonCommercial 4.0 International",),
+    "CC0-1.0": ("Creative Commons Legal Code CC0 1.0 Universal",),
+}
+
 
 def _terms(text: str) -> list[str]:
     import re
@@ -76,9 +102,9 @@ def _terms(text: str) -> list[str]:
     return re.findall(TERM, text.lower())
 
 
-def template_weights() -> tuple[list[tuple[str, int, str, float]], dict[str, float], float]:
+def template_weights(templates: dict[str, tuple[str, ...]] = TEMPLATES) -> tuple[list[tuple[str, int, str, float]], dict[str, float], float]:
     """Rows (licence, template, term, weight) of unit vectors; the terms' idf; the idf of a term in no template."""
-    texts = [(name, k, _terms(t)) for name, ts in TEMPLATES.items() for k, t in enumerate(ts)]
+    texts = [(name, k, _terms(t)) for name, ts in templates.items() for k, t in enumerate(ts)]
     df = Counter(term for _, _, terms in texts for term in set(terms))
     idf = {t: math.log((1 + len(texts)) / (1 + n)) + 1 for t, n in df.items()}
     rows = []
@@ -89,16 +115,16 @@ def template_weights() -> tuple[list[tuple[str, int, str, float]], dict[str, flo
     return rows, idf, math.log(1 + len(texts)) + 1
 
 
-def _template_table(spark: SparkSession) -> DataFrame:
-    rows, idf, _ = template_weights()
+def _template_table(spark: SparkSession, templates: dict[str, tuple[str, ...]]) -> DataFrame:
+    rows, idf, _ = template_weights(templates)
     return spark.createDataFrame([(*r, idf[r[2]]) for r in rows], "license string, template int, term string, weight double, idf double")
 
 
-def _best(units: DataFrame) -> DataFrame:
+def _best(units: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
     """units(unit, text...) -> (unit, license, score): the nearest template of each unit that shares a term with one."""
     spark = units.sparkSession
-    table = _template_table(spark)
-    other = template_weights()[2]
+    table = _template_table(spark, templates)
+    other = template_weights(templates)[2]
     terms = units.select("unit", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
     tf = terms.groupBy("unit", "term").agg(F.count("*").alias("tf"))
     idf = table.select("term", "idf").distinct()
@@ -133,6 +159,13 @@ def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     least = F.min(F.struct(-F.col("score"), F.col("license").alias("license"))).alias("b")
     named = headers.join(by_line, F.col("text") == F.col("unit")).select("file", "license", "score", F.lit(1).alias("header"))
     files_named = found.select(key.alias("file"), F.sha2("text", 256).alias("unit")).join(by_file, "unit").select("file", "license", "score", F.lit(0).alias("header"))
+    # the title stands anywhere in a licence-named file, wrapped over lines
+    full = found.where(F.regexp_like("path", F.lit(NAMED))).select(key.alias("file"), F.split("text", "\n", -1).alias("lines"))
+    windows = F.transform(F.sequence(F.lit(1), F.size("lines")), lambda k: F.transform(F.sequence(F.lit(1), F.lit(TITLE_LINES)), lambda n: F.array_join(F.slice("lines", k, n), " ")))
+    windows = full.select("file", F.explode(F.array_distinct(F.flatten(windows))).alias("text"))
+    by_title = _best(windows.select(F.col("text").alias("unit"), "text").distinct(), TITLES).where(F.col("score") >= TITLE)
+    titled = windows.join(by_title, F.col("text") == F.col("unit")).select("file", "license", "score", F.lit(0).alias("header"))
+    files_named = files_named.unionByName(titled)
     own = named.unionByName(files_named).groupBy("file").agg(least, F.sum("header").cast("long").alias("n_headers"))
     own = own.select(F.col("file.id").alias("i"), F.col("file.path").alias("p"), F.col("b.license").alias("license"), (-F.col("b.col1")).alias("score"), "n_headers")
 
