@@ -43,8 +43,16 @@ def test_order_against_brute_force(spark, order):
             assert (got[k].n_words, got[k].n_backoff) == (n, short) and got[k].log10_score == pytest.approx(total, abs=1e-4), texts[k]
 
 
-def test_order_three_is_registered(spark):
-    rows = queries.queries()["op4_lm_score_order3"](spark, "/root/testdata/sf0.001").collect()
+def test_the_query_has_order_three(spark):
+    rows = queries.queries()["op4_lm_score"](spark, "/root/testdata/sf0.001").collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     want = dict(zip(texts, brute(texts.values(), 3)))
     assert len(rows) == len(texts) and all((r.n_words, r.n_backoff) == want[r.doc_id][:2] for r in rows)
+
+
+def test_rows_that_repeat_id_and_text(spark):
+    texts = ["a b c a b"] * 60 + ["a b d", None, None, ""]
+    docs = spark.createDataFrame([(None if t == texts[0] else k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(7)
+    want = sorted((n, s, round(x, 3)) for n, s, x in brute(texts, 3))
+    for chars in (10**9, 20):
+        assert sorted((r.n_words, r.n_backoff, round(r.log10_score, 3)) for r in lm_score.score(docs, chunk_chars=chars).collect()) == want

@@ -168,7 +168,6 @@ def test_myers():
 
 def test_packing(spark):
     tok = Tokenizer.from_file(packing.default_tokenizer())
-    tok.encode_special_tokens = True
     rng = random.Random(8)
     texts = [None, "", "Hello  world's 123 <|endoftext|> é\U0001f600", "a" * 30_000, " \n" * 4000, "\t" * 5000, "x y " * 6000]
     texts += [" ".join(rng.choice(["alpha", "Béta", "12", "!!"]) for _ in range(rng.randrange(900))) for _ in range(80)]
@@ -237,7 +236,7 @@ def test_lm_scores(spark):
     texts = [None, "", " ", "Only", "the THE the"] + [" ".join(rng.choice("abcdefghij") for _ in range(rng.randrange(80))) for _ in range(40)] + ["z y x " * 9000, "a b c", "a b c"]
     docs = spark.createDataFrame([(k, t, 3) for k, t in enumerate(texts)], "doc_id long, text string, n_words int")
     for chars in (10**9, 3000):  # one chunk, and many
-        got = {r.doc_id: r for r in lm_score.score(docs, chunk_chars=chars).collect()}
+        got = {r.doc_id: r for r in lm_score.score(docs, order=2, chunk_chars=chars).collect()}
         for k, (n, short, total) in enumerate(brute_scores(texts)):
             r = got[k]
             assert (r.n_words, r.n_backoff) == (n, short) and r.log10_score == pytest.approx(total, abs=1e-4), texts[k]
