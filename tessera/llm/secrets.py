@@ -32,71 +32,84 @@ CLASSES = (
     ("alnum", r"^[A-Za-z0-9]+$", 3.4),
     ("base64", r"^[A-Za-z0-9+/=_-]+$", 3.6),
 )
-#: Allow-list: digits or letters alone (numbers, words), UUIDs, and words joined by -, _ or /.
+#: Allow-list: (pattern, pattern that must not occur). Digits or letters alone (numbers, words), UUIDs, and words or
+#: numbers of up to four digits joined by -, _ or /. No pattern repeats a group, since Java's matcher recurses there.
 ALLOW = (
-    r"^[0-9+/=_-]+$",
-    r"^[A-Za-z+/=_-]+$",
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^([A-Za-z]+|[0-9]{1,4})([-_/]+([A-Za-z]+|[0-9]{1,4}))*$",
+    (r"^[0-9+/=_-]+$", None),
+    (r"^[A-Za-z+/=_-]+$", None),
+    (r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", None),
+    (r"^[A-Za-z0-9][A-Za-z0-9_/-]*[A-Za-z0-9]$", r"[A-Za-z][0-9]|[0-9][A-Za-z]|[0-9]{5}"),
 )
 
 
+def _running(numbers: Column) -> Column:
+    """Running sums of an array, by doubling: n log n steps, where an aggregate that appends would take n * n."""
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(numbers).cast("double"))).cast("int"))
+    return F.aggregate(
+        rounds, numbers, lambda acc, k: F.transform(acc, lambda x, i: x + F.coalesce(F.get(acc, i - F.pow(F.lit(2), k).cast("int")), F.lit(0)))
+    )
+
+
 def _places(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<s, e, v>> of the pattern's leftmost matches: code points, end exclusive, and the group's text.
 
-    The texts between the matches give the places: a match starts after all that comes before it.
+    The texts between the matches give the places: a match starts after all that comes before it. Arrays are zipped, not
+    indexed: an expression of the row that a lambda refers to would be computed again for every element.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     between = F.split(text, pattern, -1)
-    pairs = F.transform(found, lambda m, i: F.struct(F.length(F.get(between, i)).alias("gap"), F.length(m).alias("n"), F.get(value, i).alias("v")))
-    none = F.array().cast("array<struct<s:int,e:int,v:string>>")
+    steps = F.filter(F.zip_with(between, found, lambda b, m: F.length(b) + F.length(m)), lambda n: n.isNotNull())
+    ends = F.zip_with(_running(steps), found, lambda e, m: F.struct((e - F.length(m)).alias("s"), e.alias("e")))
+    places = F.zip_with(ends, value, lambda p, v: F.struct(p["s"].alias("s"), p["e"].alias("e"), v.alias("v")))
+    return F.when(F.regexp_like(text, F.lit(pattern)), places).otherwise(F.array().cast("array<struct<s:int,e:int,v:string>>"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        return F.struct(
-            (start + x["n"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(start.alias("s"), (start + x["n"]).alias("e"), x["v"].alias("v")))).alias("out"),
-        )
 
-    places = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.regexp_like(text, F.lit(pattern)), places).otherwise(none)
+#: The counts of a window are held in longs, BITS for each character of the alphabet, as many as a long takes.
+BITS = 5
+PER_LONG = 63 // BITS
+N_LONGS = -(-len(ALPHABET) // PER_LONG)
 
 
-def _clog(c: Column) -> Column:
-    return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
+def window_entropy(word: Column, window: int = WINDOW) -> Column:
+    """The largest Shannon entropy, in bits, of the windows of a word of at least `window` characters of ALPHABET.
 
+    window is below 2 ** BITS. Each step adds one to the entering character's count and takes one off the leaving one's.
+    """
+    slots = F.transform(F.split(word, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    moves = F.zip_with(slots, F.slice(F.concat(F.array_repeat(F.lit(-1), window), slots), F.lit(1), F.length(word)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    clog = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(window + 2)])
+    names = [f"n{k}" for k in range(N_LONGS)]
+    start = F.struct(*[F.lit(0).cast("long").alias(n) for n in names], F.lit(0).alias("i"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("most"))
 
-def window_entropy(word: Column, window: int = WINDOW) -> Column:
-    """The largest Shannon entropy, in bits, of the windows of a word of at least `window` characters of ALPHABET."""
-    slot = lambda at: F.instr(F.lit(ALPHABET), F.substring(word, at, F.lit(1)))
-    zero = F.array_repeat(F.lit(0), len(ALPHABET))
-    start = F.struct(zero.alias("count"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("most"))
-
-    def step(acc: Column, i: Column) -> Column:
-        enter, leave = slot(i), F.when(i > window, slot(i - window)).otherwise(F.lit(0))
-        c_in, c_out = F.get(acc["count"], enter - 1), F.get(acc["count"], leave - 1)
-        same = enter == leave
-        total = F.when(same, acc["sum"]).otherwise(
-            acc["sum"] + _clog(c_in + 1) - _clog(c_in) + F.when(leave > 0, _clog(c_out - 1) - _clog(c_out)).otherwise(F.lit(0.0))
-        )
-        count = F.when(same, acc["count"]).otherwise(
-            F.transform(acc["count"], lambda c, k: c + (k == enter - 1).cast("int") - (k == leave - 1).cast("int"))
-        )
-        entropy = F.when(i >= window, F.lit(math.log2(window)) - total / window).otherwise(F.lit(0.0))
-        return F.struct(count.alias("count"), total.alias("sum"), F.greatest(acc["most"], entropy).alias("most"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step, lambda acc: acc["most"])
+    def held(acc: Column, slot: Column) -> Column:
+        long = F.element_at(F.array(*[acc[n] for n in names]), (slot / PER_LONG).cast("int") + 1)
+        return F.call_function("shiftright", long, (slot % PER_LONG) * BITS).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+
+    def one(slot: Column, k: int) -> Column:
+        return F.when((slot / PER_LONG).cast("int") == k, F.call_function("shiftleft", F.lit(1).cast("long"), (slot % PER_LONG) * BITS)).otherwise(F.lit(0).cast("long"))
+
+    def step(acc: Column, x: Column) -> Column:
+        enter, leave = x["a"], x["b"]
+        c_in = held(acc, enter)
+        # the leaving character's count, the entering one added
+        c_out = F.when(leave >= 0, held(acc, leave) + (leave == enter).cast("int"))
+        total = acc["sum"] + F.get(clog, c_in + 1) - F.get(clog, c_in) + F.coalesce(F.get(clog, c_out - 1) - F.get(clog, c_out), F.lit(0.0))
+        entropy = F.when(acc["i"] >= window - 1, F.lit(math.log2(window)) - total / window).otherwise(F.lit(0.0))
+        counts = [(acc[n] + one(enter, k) - F.when(leave >= 0, one(leave, k)).otherwise(F.lit(0).cast("long"))).alias(n) for k, n in enumerate(names)]
+        return F.struct(*counts, (acc["i"] + 1).alias("i"), total.alias("sum"), F.greatest(acc["most"], entropy).alias("most"))
+
+    return F.aggregate(moves, start, step, lambda acc: acc["most"])
 
 
 def is_secret(word: Column) -> Column:
     allowed = F.lit(False)
-    for pattern in ALLOW:
-        allowed = allowed | F.regexp_like(word, F.lit(pattern))
+    for pattern, unless in ALLOW:
+        allowed = allowed | (F.regexp_like(word, F.lit(pattern)) & (~F.regexp_like(word, F.lit(unless)) if unless else F.lit(True)))
     least = F.lit(99.0)
     for _, pattern, bits in reversed(CLASSES):
         least = F.when(F.regexp_like(word, F.lit(pattern)), F.lit(bits)).otherwise(least)
-    return F.when(allowed, F.lit(False)).otherwise(window_entropy(word) >= least)
+    return F.when(allowed, F.lit(False)).otherwise(window_entropy(word) >= least - 1e-9)
 
 
 def _spans(kind: int, places: Column) -> Column:
@@ -153,7 +166,7 @@ with base as (select doc_id, coalesce(text, '') as t from documents),
 fixed as ({_sql_places(0, ASSIGN, 1)} union all {_sql_places(1, ACCESS)} union all {_sql_places(2, HEX)}),
 cand as ({_sql_places(3, CANDIDATE)}),
 listed as (select *, case {" ".join(f"when regexp_matches(v, {_q(p)}) then {b}" for _, p, b in CLASSES)} end as least from cand
-  where {" and ".join(f"not regexp_matches(v, {_q(p)})" for p in ALLOW)}),
+  where {" and ".join(f"not (regexp_matches(v, {_q(p)})" + (f" and not regexp_matches(v, {_q(u)}))" if u else ")") for p, u in ALLOW)}),
 starts as (select *, unnest(generate_series(1, n - {WINDOW} + 1)) as w from listed),
 chars as (select doc_id, i, w, least, substr(v, w + unnest(generate_series(0, {WINDOW - 1})), 1) as c from starts),
 counted as (select doc_id, i, w, least, c, count(*) as n from chars group by all),

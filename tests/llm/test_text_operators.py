@@ -31,6 +31,12 @@ SECRET_TEXTS = [
 ]
 
 
+ALLOWED = (
+    r"^[0-9+/=_-]+$", r"^[A-Za-z+/=_-]+$", r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
+    r"^([A-Za-z]+|[0-9]{1,4})([-_/]+([A-Za-z]+|[0-9]{1,4}))*$",
+)
+
+
 def brute_secrets(text):
     text = text or ""
     kinds = [
@@ -49,7 +55,7 @@ def brute_secrets(text):
     base = list(out)
     for m in re.finditer(secrets.CANDIDATE, text):
         w = m[0]
-        if any(re.search(p, w) for p in secrets.ALLOW):
+        if any(re.search(p, w) for p in ALLOWED):
             continue
         bits = next(b for _, p, b in secrets.CLASSES if re.search(p, w))
         windows = [Counter(w[i : i + secrets.WINDOW]) for i in range(len(w) - secrets.WINDOW + 1)]
