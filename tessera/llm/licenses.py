@@ -1,8 +1,9 @@
 """Licence scans in DataFrame functions alone.
 
-Headers (lines that hold a licence word) and whole files that have such lines are compared with licence templates by
-the cosine of sparse TF-IDF vectors: terms are exploded and joined to the templates' weights, a table of fixed size.
-A file whose whole text is a licence, or that is named as a licence and holds a licence's title, covers its directory; every file takes the licence of its nearest ancestor
+Headers (lines that hold a licence word, and runs of short lines around them, since headers are wrapped) and whole files
+that have such lines are compared with licence templates by the cosine of sparse TF-IDF vectors: terms are exploded and
+joined to the templates' weights, a table of fixed size. A file whose whole text is a licence, or that is named as a
+licence and holds a licence's title, covers its directory; every file takes the licence of its nearest ancestor
 directory that has one, by joins on the path's prefixes, unless its own headers name another.
 """
 
@@ -16,8 +17,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut
 
-#: Least cosine of a header line, and of a whole file, to a template.
-HEADER, FILE = 0.5, 0.6
+#: Least cosine of a header, and of a whole file, to a template. A statement that differs in a telling word (another
+#: version, another restriction) stays below the first.
+HEADER, FILE = 0.7, 0.6
+#: Lines that a wrapped header has at most, and the characters of a line that may be part of one.
+WRAP_LINES, WRAP_CHARS = 5, 120
 #: Least cosine of consecutive lines of a licence-named file to a title, and the lines joined at most.
 TITLE, TITLE_LINES = 0.8, 4
 #: Paths of licence files by name.
@@ -45,14 +49,44 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
         "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "SPDX-License-Identifier: GPL-3.0-only",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-3.0",
     ),
     "GPL-2.0": (
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License "
         "version 2 as published by the Free Software Foundation.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+        "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
         "SPDX-License-Identifier: GPL-2.0-only",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+        "SPDX-License-Identifier: GPL-2.0",
+    ),
+    "LGPL-3.0": (
+        "Licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+        "as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: LGPL-3.0-only",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
+    ),
+    "LGPL-2.1": (
+        "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+        "as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: LGPL-2.1-only",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+    ),
+    "AGPL-3.0": (
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License "
+        "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ),
+    "BSD-2-Clause": ("Released under the 2-Clause BSD License.", "SPDX-License-Identifier: BSD-2-Clause"),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0",
+        "SPDX-License-Identifier: EPL-2.0",
     ),
-    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-only"),
-    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only"),
     "BSD-3-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Released under the 3-Clause BSD License.",
@@ -70,6 +104,15 @@ TEMPLATES = {
     "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."),
     "CC-BY-SA-4.0": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."),
     "CC-BY-NC-4.0": ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."),
+    "CC-BY-ND-4.0": ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "Licensed under CC BY-ND 4.0."),
+    "CC-BY-NC-SA-4.0": (
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+        "Licensed under CC BY-NC-SA 4.0.",
+    ),
+    "CC-BY-NC-ND-4.0": (
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+        "Licensed under CC BY-NC-ND 4.0.",
+    ),
     "CC0-1.0": ("To the extent possible under law, the author has waived all copyright to this work, CC0 1.0 Universal.", "Licensed under CC0 1.0."),
 }
 
@@ -86,12 +129,19 @@ TITLES = {
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
         "from this software without specific prior written permission.",
     ),
+    "BSD-2-Clause": (
+        "and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS",
+    ),
+    "EPL-2.0": ("Eclipse Public License - v 2.0",),
     "MPL-2.0": ("Mozilla Public License Version 2.0",),
     "ISC": (TEMPLATES["ISC"][0],),
     "Unlicense": (TEMPLATES["Unlicense"][0],),
     "CC-BY-4.0": ("Attribution 4.0 International",),
     "CC-BY-SA-4.0": ("Attribution-ShareAlike 4.0 International",),
     "CC-BY-NC-4.0": ("Attribution-NonCommercial 4.0 International",),
+    "CC-BY-ND-4.0": ("Attribution-NoDerivatives 4.0 International",),
+    "CC-BY-NC-SA-4.0": ("Attribution-NonCommercial-ShareAlike 4.0 International",),
+    "CC-BY-NC-ND-4.0": ("Attribution-NonCommercial-NoDerivatives 4.0 International",),
     "CC0-1.0": ("Creative Commons Legal Code CC0 1.0 Universal",),
 }
 
@@ -140,24 +190,38 @@ def _best(units: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) -
 def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, path, license, score, n_headers, inherited, inherited_from, effective) for every row of files.
 
-    license is the file's own, by its best header line or its whole text, '' if none reaches the threshold. inherited
-    is that of the nearest ancestor directory with a licence file, its own directory first ('' if none); of several
-    there, the best score, then the smallest licence name. effective is license, or else inherited. A null text has no
-    headers; a null path counts as ''. Rows that repeat both id and path are one file, scanned together.
+    license is the file's own, by its best header or its whole text, '' if none reaches the threshold; a header is a line
+    with a licence word, or up to WRAP_LINES lines of at most WRAP_CHARS characters with such a line among them, joined.
+    n_headers counts the lines with a licence word that are in such a header. inherited is that of the nearest ancestor
+    directory with a licence file, its own directory first ('' if none); of several there, the best score, then the
+    smallest licence name. effective is license, or else inherited. A null text has no headers; a null path counts as
+    ''. Rows that repeat both id and path are one file, scanned together.
     """
     rows = files.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     cued = rows.where(F.regexp_like("text", F.lit(CUE)))
-    lines = F.filter(F.split("text", "\n", -1), lambda x: F.regexp_like(x, F.lit(CUE)))
-    found = cut(cued.select("id", "path", lines.alias("lines"), F.length("text").alias("n"), "text"))
+    places = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.when(F.regexp_like(x, F.lit(CUE)), i)), lambda i: i.isNotNull())
+    parted = cued.select("id", "path", F.split("text", "\n", -1).alias("all"), places.alias("cues"), "text")
+    # each cue with the lines around it that a wrapped header may have
+    around = F.transform("cues", lambda c: F.struct(
+        c.alias("c"), F.least(c, F.lit(WRAP_LINES - 1)).alias("at"),
+        F.slice("all", F.greatest(c - WRAP_LINES + 2, F.lit(1)), F.least(c, F.lit(WRAP_LINES - 1)) + WRAP_LINES).alias("near"),
+    ))
+    found = cut(parted.select("id", "path", around.alias("cues"), "text"))
     key = F.struct("id", "path")
+    cues = found.select(key.alias("file"), F.explode("cues").alias("z")).select("file", "z.*")
+    spans = F.flatten(F.transform(F.sequence(F.lit(0), F.col("at")), lambda a: F.transform(
+        F.sequence(F.col("at"), F.least(a + WRAP_LINES, F.size("near")) - 1), lambda b: F.slice("near", a + 1, b - a + 1)
+    )))
+    spans = F.filter(spans, lambda x: (F.size(x) == 1) | F.forall(x, lambda ln: F.length(ln) <= WRAP_CHARS))
+    headers = cues.select("file", "c", F.explode(F.transform(spans, lambda x: F.array_join(x, " "))).alias("text"))
+    headers = headers.select("file", "c", F.sha2("text", 256).alias("unit"), "text")
     # equal units have equal scores, so each distinct one is compared once
-    headers = found.select(key.alias("file"), F.explode("lines").alias("text"))
-    units = headers.select(F.col("text").alias("unit"), "text").distinct()
+    by_line = _best(headers.select("unit", "text").distinct()).where(F.col("score") >= HEADER)
     whole = found.select(F.sha2("text", 256).alias("unit"), "text").distinct()
-    by_line = _best(units).where(F.col("score") >= HEADER)
     by_file = _best(whole).where(F.col("score") >= FILE)
     least = F.min(F.struct(-F.col("score"), F.col("license").alias("license"))).alias("b")
-    named = headers.join(by_line, F.col("text") == F.col("unit")).select("file", "license", "score", F.lit(1).alias("header"))
+    named = headers.select("file", "c", "unit").join(by_line, "unit").groupBy("file", "c").agg(least)
+    named = named.select("file", F.col("b.license").alias("license"), (-F.col("b.col1")).alias("score"), F.lit(1).alias("header"))
     files_named = found.select(key.alias("file"), F.sha2("text", 256).alias("unit")).join(by_file, "unit").select("file", "license", "score", F.lit(0).alias("header"))
     # the title stands anywhere in a licence-named file, wrapped over lines
     full = found.where(F.regexp_like("path", F.lit(NAMED))).select(key.alias("file"), F.split("text", "\n", -1).alias("lines"))
@@ -203,7 +267,12 @@ with tpl(license, template, term, weight, idf) as (values {_values()}),
 idfs as (select distinct term, idf from tpl),
 rows_ as (select doc_id as id, coalesce(source, '') || '/' || coalesce(lang, '') || '/' || doc_id || '.txt' as path, coalesce(source, '') || '/' || coalesce(lang, '') as dir, coalesce(text, '') as text from documents),
 found as (select * from rows_ where regexp_matches(text, '{CUE}')),
-headers as (select id, path, dir, ln as text from (select id, path, dir, unnest(string_split(text, chr(10))) as ln from found) where regexp_matches(ln, '{CUE}')),
+parted as (select id, path, dir, string_split(text, chr(10)) as ls from found),
+cues as (select *, unnest(list_filter(range(1, len(ls) + 1), lambda i: regexp_matches(ls[i], '{CUE}'))) as c from parted),
+firsts as (select *, unnest(generate_series(greatest(c - {WRAP_LINES - 1}, 1), c)) as a from cues),
+spans as (select *, unnest(generate_series(c, least(a + {WRAP_LINES - 1}, len(ls)))) as b from firsts),
+headers as (select id, path, dir, c, array_to_string(ls[a:b], ' ') as text from spans
+  where a = b or len(list_filter(ls[a:b], lambda x: length(x) > {WRAP_CHARS})) = 0),
 units as (select distinct text from (select text from headers union all select text from found)),
 terms as (select text as unit, unnest(regexp_extract_all(lower(text), '{TERM}')) as term from units),
 tf as (select unit, term, count(*) as tf from terms group by all),
@@ -212,7 +281,8 @@ norms as (select unit, sqrt(sum(w * w)) as norm from weighted group by unit),
 dots as (select unit, license, template, sum(w * weight) as dot from weighted join tpl on weighted.term = tpl.term group by all),
 scored as (select d.unit, license, round(dot / norm, 6) as score from dots d join norms n on d.unit = n.unit),
 best as (select unit, license, score from (select *, row_number() over (partition by unit order by score desc, license) as r from scored) where r = 1),
-named as (select id, path, dir, license, score, 1 as header from headers h join best b on h.text = b.unit where score >= {HEADER}
+named as (select id, path, dir, license, score, 1 as header from (select h.*, license, score,
+    row_number() over (partition by id, path, c order by score desc, license) as r from headers h join best b on h.text = b.unit where score >= {HEADER}) where r = 1
   union all select id, path, dir, license, score, 0 from found f join best b on f.text = b.unit where score >= {FILE}),
 own as (select id, path, n_headers, license, score from (select *, sum(header) over (partition by id, path) as n_headers,
   row_number() over (partition by id, path order by score desc, license) as r from named) where r = 1),
