@@ -1,6 +1,10 @@
 """SimHash near-duplicates: fingerprints, and a vantage-point tree over them that finds every close pair.
 
-The tree is fitted on a bounded sample (about SAMPLE fingerprints by hash, twice that at most; a documented parameter); every fingerprint is indexed.
+The tree has two parts. Its upper levels are fitted on a bounded sample (about SAMPLE fingerprints by hash, twice that at
+most; a documented parameter) and deal all fingerprints to leaves, one task each. A task goes on splitting its leaf, now
+on all of the leaf's fingerprints, until LEAF or fewer are left; so the depth follows the data, while the copies that are
+shuffled stop growing with the upper levels. Every fingerprint is indexed.
+
 A node has a vantage point v and a radius mu. A fingerprint x with d(x, v) <= mu goes to the inner branch, others to
 the outer. By the triangle inequality a partner within r of an inner x can lie in the outer branch only if
 d(x, v) > mu - r, so just those boundary points are sent to the outer branch as well. Hence any two fingerprints
@@ -10,7 +14,7 @@ within r of each other meet in a leaf, and the pairs found in leaves are exact a
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +27,13 @@ from tessera.llm.common import connected_components, cut, only, ship, small
 SHINGLE = 3
 MAX_BITS = 3
 SEED = 42
-#: Fingerprints that the tree is fitted on.
+#: Fingerprints that the upper levels are fitted on; they end where a node has fewer than 16 of them.
 SAMPLE = 65_536
-#: Fingerprints of a leaf that the depth aims at, and the most that one task compares before a leaf is dealt in blocks.
-LEAF, BLOCK = 1_024, 16_384
+#: Fingerprints of a leaf that a task searches without splitting it further, of a task that the upper levels aim at, and
+#: the most that a task holds (8 bytes each) before its leaf is dealt in blocks.
+LEAF, TASK, BLOCK = 1_024, 8_192, 4_194_304
+#: Fingerprints that a split inside a task is chosen on.
+CHOICE = 2_048
 #: Of keep_one_similar: words of a shingle, and the least Jaccard similarity of near-duplicates.
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
 #: MinHash bands and rows: a pair at SIMILARITY shares no band with probability (1 - 0.8 ** 4) ** 32, about 5e-8.
@@ -74,6 +81,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return pair.mapInArrow(run, "id long, fp long")
 
 
+def best_split(own: np.ndarray, radius: int, rng: np.random.Generator) -> tuple[np.uint64, int]:
+    """Of eight candidates, the point and the distance with the least sum of squares of what the two branches get."""
+    best = None
+    for v in rng.choice(own, min(8, len(own)), replace=False):
+        d = np.bitwise_count(own ^ v)
+        within = np.cumsum(np.bincount(d, minlength=65))
+        for mu in range(max(0, int(np.median(d)) - 2), min(64, int(np.median(d)) + 6)):
+            outer = len(own) - (within[mu - radius] if mu >= radius else 0)
+            cost = float(within[mu]) ** 2 + float(outer) ** 2
+            if best is None or cost < best[0]:
+                best = (cost, v, mu)
+    return best[1], best[2]
+
+
 class VantageTree:
     """A full binary tree in arrays: node k has the branches 2k+1 (inner) and 2k+2 (outer)."""
 
@@ -86,26 +107,13 @@ class VantageTree:
         for node in range(n):
             own = held.pop(node)
             if len(own):
-                self.points[node], self.mu[node] = self._choose(own, rng)
+                self.points[node], self.mu[node] = best_split(own, self.radius, rng)
             else:
                 self.points[node] = rng.integers(0, 2**63, dtype=np.uint64)
             d = np.bitwise_count(own ^ self.points[node]).astype(np.int64)
             # the branches are fitted to what they get, the boundary's copies included
             held[2 * node + 1], held[2 * node + 2] = own[d <= self.mu[node]], own[d > self.mu[node] - self.radius]
 
-    def _choose(self, own: np.ndarray, rng: np.random.Generator) -> tuple[np.uint64, int]:
-        """Of eight candidates, the point and radius with the least sum of squares of what the two branches get."""
-        best = None
-        for v in rng.choice(own, min(8, len(own)), replace=False):
-            d = np.bitwise_count(own ^ v)
-            within = np.cumsum(np.bincount(d, minlength=65))
-            for mu in range(max(0, int(np.median(d)) - 2), min(64, int(np.median(d)) + 6)):
-                outer = len(own) - (within[mu - self.radius] if mu >= self.radius else 0)
-                cost = float(within[mu]) ** 2 + float(outer) ** 2
-                if best is None or cost < best[0]:
-                    best = (cost, v, mu)
-        return best[1], best[2]
-
     def leaves(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indexes into fps, and for each the leaf; boundary points come more than once."""
         row, node = np.arange(len(fps)), np.zeros(len(fps), np.int64)
@@ -138,14 +146,40 @@ def leaf_links(fps: np.ndarray, radius: int = MAX_BITS) -> tuple[np.ndarray, np.
     return join(a), join(b)
 
 
-def close_links(distinct: DataFrame, radius: int = MAX_BITS, sample: int = SAMPLE, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
+def tree_links(fps: np.ndarray, radius: int = MAX_BITS, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
+    """leaf_links of distinct fps through the tree's lower levels, which are split depth first until `leaf` are left.
+
+    Fingerprints that no vantage point parts well, since they all lie close together, are searched as they are.
+    """
+    rng, todo, a, b = np.random.default_rng(7), [fps], [], []
+    while todo:
+        own = todo.pop()
+        if len(own) > leaf:
+            v, mu = best_split(own if len(own) <= CHOICE else rng.choice(own, CHOICE, replace=False), radius, rng)
+            d = np.bitwise_count(own ^ v)
+            inner, outer = own[d <= mu], own[d > mu - radius]
+            if max(len(inner), len(outer)) < 0.9 * len(own):
+                todo += [inner, outer]
+                continue
+        found = leaf_links(own, radius)
+        a.append(found[0])
+        b.append(found[1])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def upper_depth(n: int, sample: int = SAMPLE, task: int = TASK) -> int:
+    """Levels that are fitted on the sample: as many as n fingerprints ask for, while the sample can tell them apart."""
+    return max(0, min(math.ceil(math.log2(max(n, 1) / task)), int(math.log2(max(sample, 64) / 16))))
+
+
+def close_links(distinct: DataFrame, radius: int = MAX_BITS, sample: int = SAMPLE, leaf: int = LEAF, block: int = BLOCK, task: int = TASK) -> DataFrame:
     """Links (a, b) between distinct fingerprints (fp long) that give the same components as all pairs within radius.
 
-    A leaf with more than `block` fingerprints is dealt into blocks, and each pair of blocks is a task of its own: no
-    task holds more than about two blocks, and no pair is lost.
+    A leaf of the upper levels with more than `block` fingerprints is dealt into blocks, and each pair of blocks is a
+    task of its own: no task holds more than about two blocks, and no pair is lost.
     """
     n = distinct.count()
-    depth = max(0, min(math.ceil(math.log2(max(n, 1) / leaf)), int(math.log2(max(sample, 64) / 16))))
+    depth = upper_depth(n, sample, task)
     # a share of the fingerprints by hash, about `sample` of them
     share = F.xxhash64("fp") < F.lit(min(2**63 - 1, sample * 2**64 // max(n, 1) - 2**63))
     rows = distinct.where(share).select("fp").limit(2 * sample).collect() if depth else []
@@ -167,7 +201,7 @@ def close_links(distinct: DataFrame, radius: int = MAX_BITS, sample: int = SAMPL
 
     def links(table: pa.Table) -> pa.Table:
         fps = np.unique(table.column("fp").to_numpy().astype(np.int64).view(np.uint64))
-        a, b = leaf_links(fps, radius)
+        a, b = tree_links(fps, radius, leaf)
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
     return dealt.groupBy("leaf", "i", "j").applyInArrow(links, "a long, b long")
@@ -187,11 +221,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def labelled(fps: DataFrame, firsts: DataFrame, links: DataFrame) -> DataFrame:
-    """fps(id, fp) with component_id, the least of firsts(fp, first) over links(a, b) between fps."""
+    """fps(id, fp) with component_id, the least of firsts(fp, first) over links(a, b) between fps, and root, a
+    fingerprint that names the component."""
     linked = connected_components(links)
     linked = linked.withColumnRenamed("node", "fp").join(firsts, "fp")
     component = linked.select("fp", "root").join(linked.groupBy("root").agg(F.min("first").alias("least")), "root")
-    label = firsts.join(component.select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    label = firsts.join(component, "fp", "left")
+    label = label.select("fp", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
     # computed apart from the join, so that Spark can split the partition of a fingerprint that very many rows have
     return fps.join(cut(label), "fp")
 
@@ -277,9 +313,13 @@ def similar_links(docs: DataFrame, rows: DataFrame, firsts: DataFrame, id_col: s
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each group of near-duplicates, that with the smallest id; rows with a null id go
-    if their component has a document with an id, and stay otherwise."""
-    return _firsts_only(docs, near_duplicates(docs, id_col, text_col), id_col)
+    """docs with one row of each group of near-duplicates, that with the smallest id; of several rows with that id, one
+    with the smallest fingerprint. Rows with a null id come after all others, so one stays where no row of its group
+    has an id. Null and empty texts are copies of each other. An empty table gives none."""
+    fps = cut(fingerprints(only(docs, id_col, text_col), id_col, text_col))
+    firsts = cut(fps.groupBy("fp").agg(F.min("id").alias("first")))
+    found = labelled(fps, firsts, close_links(firsts.select("fp")))
+    return _firsts_only(docs, found, id_col, text_col, lambda some: fingerprints(some, id_col, text_col))
 
 
 def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,12 +332,30 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = cut(_sets(only(docs, id_col, text_col), id_col, text_col, True))
     firsts = cut(rows.groupBy("fp").agg(F.min("id").alias("first"), F.max("size").alias("size")))
     links = similar_links(docs, rows, firsts, id_col, text_col)
-    found = labelled(rows.select(F.col("id").alias(id_col), "fp"), firsts.select("fp", "first"), links)
-    return _firsts_only(docs, found, id_col)
+    found = labelled(rows.select("id", "fp"), firsts.select("fp", "first"), links)
+    return _firsts_only(docs, found, id_col, text_col, lambda some: _sets(some, id_col, text_col, False).select("id", "fp"))
+
 
+def _firsts_only(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, named: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs with one row of each component in found(id, fp, component_id, root); named gives (id, fp) of some rows.
 
-def _firsts_only(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """docs without the rows that aren't the first of their component in found."""
-    first = F.max(F.col("component_id").eqNullSafe(F.col(id_col)))
-    gone = small(found.groupBy(F.col(id_col).alias("__gone")).agg(first.alias("first")).where("not first").select("__gone"))
-    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")), "left_anti")
+    Nearly all ids are on one row, and rows that aren't the first of their component go by an anti join on the id. Ids on
+    several rows, and null ids, don't tell rows apart: those rows get their fingerprints again, one row for each.
+    """
+    found = cut(found)
+    own = F.col(f"`{id_col}`").cast("long")
+    first = F.col("component_id").eqNullSafe(F.col("id"))
+    per = found.groupBy("id").agg(F.max(first).alias("first"), F.count("*").alias("n"))
+    gone = small(per.where("not first or n > 1 or id is null").select(F.col("id").alias("__gone")))
+    out = docs.join(gone, own.eqNullSafe(F.col("__gone")), "left_anti")
+    crowd = small(per.where("first and (n > 1 or id is null)").select(F.col("id").alias("__id")))
+    if crowd.isEmpty():
+        return out
+    # rows of one id and text are equal here, whatever their other columns hold: the first that Spark meets stays
+    some = docs.join(crowd, own.eqNullSafe(F.col("__id")), "left_semi").withColumn("__h", F.xxhash64(own, F.col(f"`{text_col}`").cast("string")))
+    texts = some.select(F.col("__h").alias(id_col), F.col(f"`{text_col}`").alias(text_col)).dropDuplicates([id_col])
+    held = some.select(own.alias("__id"), "__h").distinct().join(named(texts).select(F.col("id").alias("__h"), "fp"), "__h")
+    chosen = found.where(first).groupBy("root").agg(F.min("fp").alias("fp"), F.first("id").alias("__own"))
+    picked = held.join(chosen, "fp").where(F.col("__id").eqNullSafe(F.col("__own"))).groupBy("root").agg(F.min("__h").alias("__h"))
+    kept = some.join(small(picked.select("__h")), "__h", "left_semi").dropDuplicates(["__h"])
+    return out.unionByName(kept.select(*[F.col(f"`{c}`") for c in docs.columns]))

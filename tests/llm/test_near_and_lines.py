@@ -70,7 +70,7 @@ def test_tree_and_blocks_lose_no_link(spark):
     fps = sorted(fps)
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
     distinct = spark.createDataFrame([(f,) for f in signed], "fp long")
-    links = connected_components(simhash.close_links(distinct, leaf=16, block=30, sample=1024)).collect()
+    links = connected_components(simhash.close_links(distinct, leaf=16, block=30, sample=1024, task=16)).collect()
     root = {r.node: r.root for r in links}
     f = np.array(fps, dtype=np.uint64)
     label = {s: s for s in signed}
@@ -95,6 +95,51 @@ def test_tree_and_blocks_lose_no_link(spark):
             assert homes[i] & homes[int(j)]
 
 
+def test_lower_levels_lose_no_link():
+    rng = np.random.default_rng(6)
+    for spread in (4, 64):  # close together, where no vantage point parts them, and apart
+        centers = rng.integers(0, 2**63, 400, dtype=np.uint64) >> np.uint64(64 - spread)
+        near = centers ^ np.left_shift(np.uint64(1), rng.integers(0, 63, 400).astype(np.uint64))
+        fps = np.unique(np.concatenate([centers, near, near ^ np.uint64(5)]))
+        parts = []
+        for a, b in (simhash.tree_links(fps, leaf=8), simhash.leaf_links(fps)):
+            root = {int(f): int(f) for f in fps}
+
+            def find(x):
+                while root[x] != x:
+                    x = root[x]
+                return x
+
+            for x, y in zip(a.tolist(), b.tolist()):
+                x, y = sorted((find(x), find(y)))
+                root[y] = x
+            parts.append({f: find(f) for f in root})
+        assert parts[0] == parts[1]
+
+
+def test_shuffled_copies_stay_bounded():
+    """Ten times the fingerprints: the copies that are dealt to tasks grow with the upper levels only, and those end."""
+    rng = np.random.default_rng(8)
+    copies = []
+    for n in (2_000, 20_000, 200_000):
+        fps = rng.integers(0, 2**63, n, dtype=np.uint64)
+        depth = simhash.upper_depth(n, sample=512, task=64)
+        tree = simhash.VantageTree(fps[:512], depth)
+        copies.append(len(tree.leaves(fps)[0]) / n)
+        # a task's leaf is split further on its own
+    assert simhash.upper_depth(20_000, 512, 64) == simhash.upper_depth(200_000, 512, 64) == 5
+    assert copies[2] < 1.1 * copies[1] < 8
+
+
+def test_one_row_of_each_group_with_repeated_ids(spark):
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, long, "a"), (1, long, "b"), (2, long, "c"), (None, long, "d"), (3, "x y", "e"), (3, "other words", "f"), (3, "x y", "g"), (None, "only here", "h"), (None, "ONLY here", "i"), (5, None, "j"), (5, "", "k"), (4, "z", "l")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    for keep in (simhash.keep_one, simhash.keep_one_similar):
+        got = sorted(((r.doc_id, (r.text or "").lower()) for r in keep(docs).collect()), key=str)
+        assert got == sorted([(1, long), (3, "x y"), (3, "other words"), (None, "only here"), (5, ""), (4, "z")], key=str)
+
+
 def test_near_edge_cases(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(empty).count() == 0
