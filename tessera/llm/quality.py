@@ -1,8 +1,10 @@
 """Quality rules: counts for each document, and host verdicts from shrunken failure rates.
 
-Every rule's failures are summed by host (source). Over the hosts, a beta prior is fitted by the method of moments, and
-each host's rate is shrunk towards the prior mean: (failures + a) / (documents + a + b). A host whose shrunken rate of
-any rule passes HOST_LIMIT is rejected with all its documents; small hosts can't be condemned by a few documents.
+Every rule's failures are summed by host (source). For each host, a beta prior is fitted to the rates of all other hosts by
+the method of moments (from sums over all hosts, less its own), so that a bad host doesn't excuse itself. Its rate is
+shrunk towards the prior mean: (failures + a) / (documents + a + b). A host is rejected with all its documents if the
+shrunken rate of any rule passes HOST_LIMIT, or is HOST_FLOOR at least and passes the prior mean by DEVIATIONS standard
+deviations of the prior; can't be condemned by a few documents.
 """
 
 from __future__ import annotations
@@ -16,10 +18,14 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import cut, only, ship, small, written
 
-#: A host is rejected at a shrunken failure rate of a rule above this.
+#: A host is rejected above this shrunken failure rate of a rule,
 HOST_LIMIT = 0.75
+#: or if it passes this one and the prior mean by so many deviations.
+HOST_FLOOR, DEVIATIONS = 0.25, 3.0
 #: Bounds of the prior's weight in documents, and the weight where hosts don't differ or there is only one.
 LEAST_WEIGHT, MOST_WEIGHT, PLAIN_WEIGHT = 1.0, 10_000.0, 100.0
+#: A variance of the hosts' rates below this is rounding.
+LEAST_VARIANCE = 1e-12
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -71,15 +77,20 @@ def _failed(rule: str) -> Column:
 def host_verdicts(stats: DataFrame) -> DataFrame:
     """(source, rate_<rule>..., host_rejected) from stats with source and COUNTS; one row for each host, null included."""
     per = stats.groupBy("source").agg(F.count("*").alias("n"), *[F.sum(_failed(r).cast("long")).alias(r) for r in RULES])
-    rates = [x for r in RULES for x in (F.avg(F.col(r) / F.col("n")).alias(f"mu_{r}"), F.var_samp(F.col(r) / F.col("n")).alias(f"v_{r}"))]
-    prior = per.agg(*rates)  # one row
-    joined = per.crossJoin(F.broadcast(prior))
-    for r in RULES:
-        mu, v = F.col(f"mu_{r}"), F.col(f"v_{r}")
-        weight = F.when(v > 0, F.least(F.lit(MOST_WEIGHT), F.greatest(F.lit(LEAST_WEIGHT), mu * (1 - mu) / v - 1))).otherwise(PLAIN_WEIGHT)
-        joined = joined.withColumn(f"rate_{r}", (F.col(r) + mu * weight) / (F.col("n") + weight))
-    rejected = F.greatest(*[F.col(f"rate_{r}") for r in RULES]) > HOST_LIMIT
-    return joined.select("source", *[f"rate_{r}" for r in RULES], rejected.alias("host_rejected"))
+    told = per.select("source", "n", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("k")) for r in RULES])).alias("z"))
+    told = told.select("source", "n", "z.rule", "z.k", (F.col("z.k") / F.col("n")).alias("own"))
+    sums = told.groupBy("rule").agg(F.count("*").alias("hosts"), F.sum("own").alias("s"), F.sum(F.col("own") * F.col("own")).alias("q"))
+    joined = told.join(F.broadcast(sums), "rule")  # a row a rule
+    others, own, mu, v, w, rate = (F.col(c) for c in ("others", "own", "mu", "v", "w", "rate"))
+    joined = joined.withColumn("others", F.col("hosts") - 1)
+    joined = joined.withColumn("mu", F.when(others > 0, F.least(F.lit(1.0), F.greatest(F.col("s") - own, F.lit(0.0)) / others)).otherwise(own))
+    joined = joined.withColumn("v", F.when(others > 1, (F.col("q") - own * own - others * mu * mu) / (others - 1)).otherwise(F.lit(0.0)))
+    weight = F.when(v > LEAST_VARIANCE, F.least(F.lit(MOST_WEIGHT), F.greatest(F.lit(LEAST_WEIGHT), mu * (1 - mu) / v - 1))).otherwise(PLAIN_WEIGHT)
+    joined = joined.withColumn("w", weight).withColumn("rate", (F.col("k") + mu * w) / (F.col("n") + w))
+    sure = rate - DEVIATIONS * F.sqrt(rate * F.greatest(1 - rate, F.lit(0.0)) / (F.col("n") + w + 1)) > HOST_FLOOR
+    stands_out = sure & (rate > mu + DEVIATIONS * F.sqrt(mu * (1 - mu) / (w + 1)))
+    rates = [F.max(F.when(F.col("rule") == r, rate)).alias(f"rate_{r}") for r in RULES]
+    return joined.groupBy("source").agg(*rates, F.max((rate > HOST_LIMIT) | stands_out).alias("host_rejected"))
 
 
 def _judged(stats: DataFrame) -> DataFrame:
@@ -103,7 +114,11 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """docs without the rejected documents. The counted documents are written once, so that texts are counted once."""
+    """docs without the rejected documents: those that fail the base rules, and all of rejected hosts.
+
+    The counted documents are written once, so that texts are counted once. Null and empty texts have no words and go; a
+    null host is a host like any other; repeated rows stay or go together; extra columns stay. An empty table gives none.
+    """
     ship(docs.sparkSession)
     stats = docs.withColumn("__c", count_text(F.col(f"`{text_col}`")))
     stats = written(stats)
@@ -116,14 +131,17 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
 
 
 _WORD = r"[^\x20\x09-\x0D]+"
-_RATES = ", ".join(f"avg({r} / n) as mu_{r}, var_samp({r} / n) as v_{r}" for r in RULES)
-_SHRUNK = ", ".join(
-    f"({r} + mu_{r} * w_{r}) / (n + w_{r})" for r in RULES
+_SUMS = ", ".join(f"sum({r} / n) as s_{r}, sum(({r} / n) * ({r} / n)) as q_{r}" for r in RULES)
+_MEANS = ", ".join(f"case when hosts > 1 then least(1, greatest(s_{r} - {r} / n, 0) / (hosts - 1)) else {r} / n end as mu_{r}" for r in RULES)
+_VARS = ", ".join(
+    f"case when hosts > 2 then (q_{r} - ({r} / n) * ({r} / n) - (hosts - 1) * mu_{r} * mu_{r}) / (hosts - 2) else 0 end as v_{r}" for r in RULES
 )
 _WEIGHTS = ", ".join(
-    f"case when v_{r} > 0 then least({MOST_WEIGHT}, greatest({LEAST_WEIGHT}, mu_{r} * (1 - mu_{r}) / v_{r} - 1)) else {PLAIN_WEIGHT} end as w_{r}"
+    f"case when v_{r} > {LEAST_VARIANCE} then least({MOST_WEIGHT}, greatest({LEAST_WEIGHT}, mu_{r} * (1 - mu_{r}) / v_{r} - 1)) else {PLAIN_WEIGHT} end as w_{r}"
     for r in RULES
 )
+_SHRUNK = ", ".join(f"({r} + mu_{r} * w_{r}) / (n + w_{r}) as rate_{r}" for r in RULES)
+_BAD = " or ".join(f"rate_{r} > {HOST_LIMIT} or (rate_{r} - {DEVIATIONS} * sqrt(rate_{r} * greatest(1 - rate_{r}, 0) / (n + w_{r} + 1)) > {HOST_FLOOR} and rate_{r} > mu_{r} + {DEVIATIONS} * sqrt(mu_{r} * (1 - mu_{r}) / (w_{r} + 1)))" for r in RULES)
 ORACLE_SQL = f"""
 with base as (select doc_id, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{_WORD}') as ws from documents),
 lines as (select doc_id, unnest(string_split(t, chr(10))) as ln from base),
@@ -141,9 +159,12 @@ stats as (select b.doc_id, b.source, cast(len(ws) as bigint) as n_words,
     cast(coalesce(n_lines, 0) as bigint) as n_lines
   from base b left join lined l on b.doc_id = l.doc_id left join repeated r on b.doc_id = r.doc_id),
 per as (select source, count(*) as n, {", ".join(f"sum(case when {e} then 1 else 0 end) as {r}" for r, e in RULES.items())} from stats group by source),
-prior as (select {_RATES} from per),
-weights as (select *, {_WEIGHTS} from prior),
-hosts as (select source, greatest({_SHRUNK}) > {HOST_LIMIT} as bad from per, weights)
+sums as (select count(*) as hosts, {_SUMS} from per),
+means as (select *, {_MEANS} from per cross join sums),
+vars as (select *, {_VARS} from means),
+weights as (select *, {_WEIGHTS} from vars),
+rates as (select *, {_SHRUNK} from weights),
+hosts as (select source, {_BAD} as bad from rates)
 select s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed,
   (not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and not h.bad) as kept

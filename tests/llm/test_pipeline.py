@@ -2,7 +2,8 @@
 
 import corpus_pipeline
 import pytest
-from test_near_and_lines import brute_components, brute_fingerprint, brute_lines
+from test_near_and_lines import brute_lines
+from test_near_similarity import brute_kept
 from test_text_operators import brute_counts, sellers
 
 from tessera.llm import decontaminate, packing
@@ -41,8 +42,8 @@ def test_stages(spark, staged):
             kept[i] = "\n".join(rest)
     assert gone and {r.doc_id: (r.text, r.n_chars) for r in staged[1].collect()} == {i: (t, len(t)) for i, t in kept.items()}
 
-    label = brute_components({i: brute_fingerprint(t) for i, t in kept.items()})
-    single = {i: t for i, t in kept.items() if label[i] == i}
+    alone = brute_kept(kept)
+    single = {i: t for i, t in kept.items() if i in alone}
     assert {r.doc_id for r in staged[2].collect()} == set(single)
 
     bench = [decontaminate.normal(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

@@ -116,6 +116,18 @@ def test_quality(spark):
     assert quality.quality(docs.limit(0)).count() == 0 and quality.keep_good(docs.limit(0)).count() == 0
 
 
+def test_a_host_that_stands_out_is_rejected(spark):
+    fine = " ".join(f"word{k}" for k in range(12))
+    rows = [(f"h{h}", fine if k % 10 else "short one") for h in range(6) for k in range(100 + h)]
+    rows += [("worse", fine if k % 5 > 2 else "short one") for k in range(200)]  # 60 % fail, against 10 %
+    rows += [("tiny", "short one")] * 2 + [("tiny", fine)] * 3
+    docs = spark.createDataFrame([(k, t, h) for k, (h, t) in enumerate(rows)], "doc_id long, text string, source string")
+    got = quality.quality(docs).join(docs.select("doc_id", "source"), "doc_id").collect()
+    assert {r.source for r in got if not r.base_failed and not r.kept} == {"worse"}
+    alike = docs.where("source <> 'worse'")
+    assert all(r.kept != r.base_failed for r in quality.quality(alike).collect())
+
+
 # --- decontamination ---
 
 
@@ -148,7 +160,7 @@ def test_decontamination(spark):
     for i, t in docs:
         for k, item in items:
             a, b = decontaminate.normal(item), decontaminate.normal(t)
-            if a and b and (d := sellers(a, b)) <= decontaminate.budget(a):
+            if len(a) >= decontaminate.LEAST_CHARS and b and (d := sellers(a, b)) <= decontaminate.budget(a):
                 want.append((str(i), k, d))
     for chars in (10**9, 400):  # one block, and several
         got = [(str(r.doc_id), r.item_id, r.distance) for r in decontaminate.contaminated(df, bench, block_chars=chars).collect()]
@@ -159,6 +171,16 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0 and decontaminate.contaminated(df.limit(0), bench).count() == 0
 
 
+def test_short_items_and_very_long_texts(spark):
+    bench = spark.createDataFrame([(1, "an"), (2, "what is two"), (3, None), (4, "  A  n "), (5, "a question of more than twenty characters")], "item_id long, text string")
+    long = "plants and mangoes " * 60_000
+    docs = [(0, "plants an mango"), (1, "So, what is  two?"), (2, "somewhat is two"), (3, "what is twofold"), (4, long), (5, long + "a question of more than twenty charakters")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.distance) for r in decontaminate.contaminated(df, bench).collect())
+    assert got == [(1, 2, 0), (5, 5, 1)]
+    assert sorted(r.item_id for r in decontaminate.left_out(bench).collect()) == [1, 3, 4]
+
+
 def test_myers():
     rng = random.Random(6)
     for _ in range(300):
