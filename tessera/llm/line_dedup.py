@@ -120,6 +120,17 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return reached.where("gid < stop").select("doc", "h", "pos")
 
 
+def _without(lines: Column, gone: Column) -> Column:
+    """lines without those at the places in gone: both are sorted together by place, so it takes n log n steps."""
+    both = F.array_sort(F.concat(
+        F.transform(gone, lambda p: F.struct(p.alias("p"), F.lit(0).alias("k"), F.lit("").alias("x"))),
+        F.transform(lines, lambda x, i: F.struct(i.alias("p"), F.lit(1).alias("k"), x.alias("x"))),
+    ))
+    none = F.lit(None).cast("struct<p:int,k:int,x:string>")
+    told = F.zip_with(both, F.concat(F.array(none), both), lambda a, b: F.struct(a["k"].alias("k"), a["x"].alias("x"), F.coalesce(a["p"] == b["p"], F.lit(False)).alias("gone")))
+    return F.transform(F.filter(told, lambda t: (t["k"] == 1) & ~t["gone"]), lambda t: t["x"])
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the later copies of repeated line runs deleted from text_col, and the columns n_lines_in, n_lines_removed.
 
@@ -132,7 +143,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     removed = removed.groupBy(F.col("doc").alias("__doc"), F.col("h").alias("__h")).agg(F.collect_set("pos").alias("__gone"))
     text = F.col(f"`{text_col}`")
     keyed = docs.withColumns({"__doc": _key(id_col), "__h": F.xxhash64(F.coalesce(text, F.lit("")))})
-    rest = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i))
+    rest = _without(F.split(text, "\n", -1), F.col("__gone"))
     out = keyed.join(removed, ["__doc", "__h"], "left").withColumns({
         text_col: F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(rest, "\n")),
         "n_lines_in": F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0)).cast("long"),
@@ -142,7 +153,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_with_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """dedup_lines for a pipeline: the columns of docs; documents whose every line was a later copy go."""
+    """dedup_lines for a pipeline: the columns of docs, n_chars kept true; documents whose every line was a later copy go.
+
+    Null and empty texts stay (quality rules are another stage's), and so do rows with a null id; of equal runs the
+    first by (id, text hash, line) stays, so ties can't drop both. Rows that repeat id and text get the same text each. An
+    empty table gives none; extra columns stay as they are.
+    """
     out = dedup_lines(docs, id_col, text_col).where("n_lines_removed = 0 or n_lines_removed < n_lines_in")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_lines_removed") > 0, F.length(text_col).cast("long")).otherwise(F.col("n_chars")))
