@@ -87,12 +87,13 @@ def loss_texts(turns: Column) -> Column:
 
 
 def digest(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """Sums of what format_chats read back, a row for each conversation; identical tells that it equals the source."""
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = loss_texts(F.col("turns"))
     return formatted.select(
         id_col, F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
+        F.length("formatted").cast("long").alias("formatted_chars"), "identical",
     )
 
 
@@ -113,5 +114,5 @@ select conv_id, cast(count(*) as bigint) as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
-  cast(sum(length(role) + length(regexp_replace(text, '<(\\\\*)\\|', '<\\\\\\1|', 'g')) + {len(START) + len(END) + 2}) as bigint) as formatted_chars
+  cast(sum(length(role) + length(regexp_replace(text, '<(\\\\*)\\|', '<\\\\\\1|', 'g')) + {len(START) + len(END) + 2}) as bigint) as formatted_chars, true as identical
 from t group by conv_id"""

@@ -35,10 +35,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def with_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names the shared folder in spark.checkpoint.dir; only where it is unset (tests) one is made."""
+    """The cluster names the shared folder in spark.checkpoint.dir; only on a local master, in tests, one is made."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
 
 
@@ -92,6 +94,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     raise RuntimeError("connected components did not converge")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in the shared folder, once nothing reads it any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df, written once as a table in the shared checkpoint folder and read again."""
     spark = df.sparkSession
