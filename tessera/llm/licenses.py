@@ -171,7 +171,11 @@ def _template_table(spark: SparkSession, templates: dict[str, tuple[str, ...]])
 
 
 def _best(units: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
-    """units(unit, text...) -> (unit, license, score): the nearest template of each unit that shares a term with one."""
+    """units(unit, text...) -> (unit, license, score): the nearest template of each unit that shares a term with one.
+
+    Units are partitioned by their key once; all that follows groups and joins by it, and so shuffles no terms.
+    """
+    units = units.dropDuplicates(["unit"])
     spark = units.sparkSession
     table = _template_table(spark, templates)
     other = template_weights(templates)[2]
@@ -216,8 +220,8 @@ def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     headers = cues.select("file", "c", F.explode(F.transform(spans, lambda x: F.array_join(x, " "))).alias("text"))
     headers = headers.select("file", "c", F.sha2("text", 256).alias("unit"), "text")
     # equal units have equal scores, so each distinct one is compared once
-    by_line = _best(headers.select("unit", "text").distinct()).where(F.col("score") >= HEADER)
-    whole = found.select(F.sha2("text", 256).alias("unit"), "text").distinct()
+    by_line = _best(headers.select("unit", "text")).where(F.col("score") >= HEADER)
+    whole = found.select(F.sha2("text", 256).alias("unit"), "text")
     by_file = _best(whole).where(F.col("score") >= FILE)
     least = F.min(F.struct(-F.col("score"), F.col("license").alias("license"))).alias("b")
     named = headers.select("file", "c", "unit").join(by_line, "unit").groupBy("file", "c").agg(least)
@@ -227,7 +231,7 @@ def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     full = found.where(F.regexp_like("path", F.lit(NAMED))).select(key.alias("file"), F.split("text", "\n", -1).alias("lines"))
     windows = F.transform(F.sequence(F.lit(1), F.size("lines")), lambda k: F.transform(F.sequence(F.lit(1), F.lit(TITLE_LINES)), lambda n: F.array_join(F.slice("lines", k, n), " ")))
     windows = full.select("file", F.explode(F.array_distinct(F.flatten(windows))).alias("text"))
-    by_title = _best(windows.select(F.col("text").alias("unit"), "text").distinct(), TITLES).where(F.col("score") >= TITLE)
+    by_title = _best(windows.select(F.col("text").alias("unit"), "text"), TITLES).where(F.col("score") >= TITLE)
     titled = windows.join(by_title, F.col("text") == F.col("unit")).select("file", "license", "score", F.lit(0).alias("header"))
     files_named = files_named.unionByName(titled)
     own = named.unionByName(files_named).groupBy("file").agg(least, F.sum("header").cast("long").alias("n_headers"))
