@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; one is made only where none is set, as in tests."""
+    """The checkpoint folder that the cluster names; only on a local master, in tests, one is made."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-"))
     return context.getCheckpointDir()
 
 
@@ -19,3 +22,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a checkpoint in the shared folder; it survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

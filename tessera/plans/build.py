@@ -2,23 +2,56 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import centrality, cluster, graph, paths, stats, store
-from tessera.operators.lineage import cut
+from tessera.operators.lineage import cut, exists
+
+#: The stages of an analysis, in the order in which they build on each other.
+STAGES = (
+    "vertices", "edges", "cardinality", "endpoints", "betweenness", "importance", "centroids", "weighted", "shortest", "dependence", "class_index",
+)
 
 
 @dataclass
 class Analysis:
-    """The statistics of a graph, each computed once when it is asked for, and kept as a checkpoint."""
+    """The statistics of a graph, each computed once when it is asked for.
+
+    With a path, every stage is written there as Parquet, and a later session reads what is there instead of computing
+    it; a stage that was cut off while it was written is written again. Without, stages are checkpoints of the session.
+    """
 
     triples: DataFrame
     schema: DataFrame
     k: int = 3
+    path: str | None = None
+
+    def _stage(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if self.path is None:
+            return cut(make())
+        at = f"{self.path}/{name}"
+        if not exists(self.spark, f"{at}/_SUCCESS"):
+            make().write.mode("overwrite").parquet(at)
+        return self.spark.read.parquet(at)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, k: int = 3) -> Analysis:
+        """The analysis that an earlier session wrote to path, from its stages alone."""
+        return cls(spark.read.parquet(f"{path}/triples"), spark.read.parquet(f"{path}/schema"), k, path)
+
+    def save(self) -> Analysis:
+        """Writes the triples, the schema and all stages to path, those that aren't there yet."""
+        if self.path is None:
+            raise ValueError("an analysis without a path can't be saved")
+        own = replace(self, triples=self._stage("triples", lambda: self.triples), schema=self._stage("schema", lambda: self.schema))
+        for name in STAGES:
+            getattr(own, name)
+        return own
 
     @property
     def spark(self) -> SparkSession:
@@ -26,43 +59,43 @@ class Analysis:
 
     @cached_property
     def vertices(self) -> DataFrame:
-        return cut(graph.schema_vertices(self.schema))
+        return self._stage("vertices", lambda: graph.schema_vertices(self.schema))
 
     @cached_property
     def edges(self) -> DataFrame:
-        return cut(graph.schema_edges(self.schema))
+        return self._stage("edges", lambda: graph.schema_edges(self.schema))
 
     @cached_property
     def cardinality(self) -> DataFrame:
-        return cut(stats.class_cardinality(self.triples))
+        return self._stage("cardinality", lambda: stats.class_cardinality(self.triples))
 
     @cached_property
     def endpoints(self) -> DataFrame:
-        return cut(stats.class_endpoint_stats(self.triples))
+        return self._stage("endpoints", lambda: stats.class_endpoint_stats(self.triples))
 
     @cached_property
     def betweenness(self) -> DataFrame:
-        return cut(centrality.betweenness(self.edges, self.vertices.select(F.col("uri").alias("v"))))
+        return self._stage("betweenness", lambda: centrality.betweenness(self.edges, self.vertices.select(F.col("uri").alias("v"))))
 
     @cached_property
     def importance(self) -> DataFrame:
-        return cut(centrality.class_importance(self.vertices, self.betweenness, self.endpoints.select("class", "node_freq")))
+        return self._stage("importance", lambda: centrality.class_importance(self.vertices, self.betweenness, self.endpoints.select("class", "node_freq")))
 
     @cached_property
     def centroids(self) -> DataFrame:
-        return cut(centrality.top_k(self.importance, self.k))
+        return self._stage("centroids", lambda: centrality.top_k(self.importance, self.k))
 
     @cached_property
     def weighted(self) -> DataFrame:
-        return cut(paths.weighted_edges(self.edges, self.cardinality, self.importance))
+        return self._stage("weighted", lambda: paths.weighted_edges(self.edges, self.cardinality, self.importance))
 
     @cached_property
     def shortest(self) -> DataFrame:
-        return paths.shortest_paths(self.weighted, self.centroids.select(F.col("class").alias("v")))
+        return self._stage("shortest", lambda: paths.shortest_paths(self.weighted, self.centroids.select(F.col("class").alias("v"))))
 
     @cached_property
     def dependence(self) -> DataFrame:
-        return cut(paths.ranked_dependence(paths.dependence(self.shortest, self.importance)))
+        return self._stage("dependence", lambda: paths.ranked_dependence(paths.dependence(self.shortest, self.importance)))
 
     @cached_property
     def class_index(self) -> DataFrame:
@@ -70,7 +103,7 @@ class Analysis:
         counts = self.endpoints.select("class", "node_count")
         named = graph.instance_types(self.triples).select("class").distinct()
         every = named.union(self.vertices.select("uri")).distinct().join(counts, "class", "left").fillna(0, ["node_count"])
-        return cut(cluster.class_index(self.spark, self.dependence, self.centroids, every, self.triples.count()))
+        return self._stage("class_index", lambda: cluster.class_index(self.spark, self.dependence, self.centroids, every, self.triples.count()))
 
     def placed(self) -> DataFrame:
         return store.place(self.triples, self.class_index, self.k)

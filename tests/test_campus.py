@@ -210,3 +210,21 @@ def test_parallel_edges_and_ties(spark):
     assert got["d"] == (2.0, ["p", "p"], ["b", "d"])
     sigma = {r.v: r.sigma for x in centrality.bfs_levels(edges, sources) for r in x.collect()}
     assert sigma == {"a": 1, "b": 2, "c": 1, "d": 3}
+
+
+def test_a_second_session_reads_the_stages(spark, tmp_path, monkeypatch):
+    from tessera.plans import build
+
+    triples = spark.createDataFrame(TRIPLES, "s string, p string, o string")
+    first = Analysis(triples, spark.createDataFrame(SCHEMA, "s string, p string, o string"), 2, str(tmp_path / "a")).save()
+    want = {name: sorted(map(str, getattr(first, name).collect())) for name in build.STAGES}
+    for module in (build.stats, build.centrality, build.paths, build.cluster):  # nothing may be computed again
+        for name in [n for n in vars(module) if callable(getattr(module, n)) and not n.startswith("_")]:
+            monkeypatch.setattr(module, name, None)
+    again = Analysis.load(spark, str(tmp_path / "a"), 2)
+    assert {name: sorted(map(str, getattr(again, name).collect())) for name in build.STAGES} == want
+    assert sorted(map(tuple, again.triples.collect())) == sorted(map(tuple, triples.collect()))
+    monkeypatch.undo()
+    # a stage that was cut off is written again
+    (tmp_path / "a" / "weighted" / "_SUCCESS").unlink()
+    assert sorted(map(str, Analysis.load(spark, str(tmp_path / "a"), 2).weighted.collect())) == want["weighted"]
