@@ -59,7 +59,7 @@ class Chunk:
         del ids, known
         self.order, self.lengths, self.weights = order, lengths, np.array(weights, np.int64)
         self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
-        self.place = np.arange(len(word)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.place = np.arange(len(word), dtype=np.int32) - np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
         self.words = int((lengths * self.weights).sum())
         # the places that end an n-gram of each order, and all their keys in order
         self.ends = [np.flatnonzero(self.place >= k) for k in range(order)]
@@ -75,7 +75,8 @@ class Chunk:
         ranked = self.all[order]
         new = np.ones(len(ranked), bool)
         np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
-        return order, np.flatnonzero(new), np.cumsum(new) - 1
+        del ranked
+        return order, np.flatnonzero(new), np.cumsum(new, dtype=np.int32) - 1
 
     def _owner(self) -> np.ndarray:
         return np.concatenate([self.doc[e] for e in self.ends])
@@ -98,14 +99,22 @@ class Chunk:
         owner = self._owner()[order]
         inside = np.add.reduceat(self.weights[owner], starts)
         # what other rows have: all but a single row's own count, which is 1 unless the key comes twice in the chunk
-        seen_sorted = (others[1:] + inside)[number] - 1
+        seen_sorted = np.add(others[1:], inside - 1)[number]
+        del inside
         times = np.diff(np.append(starts, len(number)))
         twice = np.flatnonzero((times > 1)[number])
-        pair = number[twice] * len(self.lengths) + owner[twice]
-        _, index, count = np.unique(pair, return_inverse=True, return_counts=True)
-        seen_sorted[twice] -= count[index] - 1
-        flat = np.empty(len(number), np.int64)
+        pair = number[twice].astype(np.int64) * len(self.lengths) + owner[twice]
+        del number, owner, times
+        at = np.argsort(pair)
+        pair = pair[at]
+        new = np.ones(len(at), bool)
+        np.not_equal(pair[1:], pair[:-1], out=new[1:])
+        count = np.diff(np.append(np.flatnonzero(new), len(at)))
+        seen_sorted[twice[at]] -= np.repeat(count - 1, count)
+        del pair, at, new, twice
+        flat = np.empty(len(order), np.int64)
         flat[order] = seen_sorted
+        del order, seen_sorted
         seen, at = [], 0
         for e in self.ends:
             full = np.zeros(n, np.int64)
@@ -113,7 +122,8 @@ class Chunk:
             seen.append(full)
             at += len(e)
         rest = np.maximum(others[0] + self.words - self.lengths, 1)[self.doc]
-        score, used = np.log10(np.maximum(seen[0], 1) / rest), np.zeros(n, np.int64)
+        del flat
+        score, used = np.log10(np.maximum(seen[0], 1) / rest), np.zeros(n, np.int8)
         for k in range(1, self.order):
             history = np.zeros(n, np.int64)
             history[1:] = seen[k - 1][:-1]
