@@ -26,6 +26,8 @@ def test_parser_shapes():
     assert q.select == ("X", "Y1") and q.patterns == (TriplePattern("?X", RDF_TYPE, "<http://e/C>"), TriplePattern("?X", "<http://e/p?q#r>", "?Y1"))
     q = parse("PREFIX e: <http://e/>\nselect * where{http://e/s e:p ?o}")
     assert q.patterns == (TriplePattern("<http://e/s>", "<http://e/p>", "?o"),) and q.projected == ("o",)
+    q = parse("PREFIX e : http://e/v#\nPREFIX : <http://e/>\nSELECT * WHERE {\n?s http://e/v#p ?o .\n?s e:q :C .\n}")
+    assert q.patterns == (TriplePattern("?s", "<http://e/v#p>", "?o"), TriplePattern("?s", "<http://e/v#q>", "<http://e/C>"))
     q = parse('SELECT ?x WHERE { ?x <p> "a . b \\" }"@en-GB . ?x rdf:type ?y . # a comment . here\n ?x <q> "5"^^<http://t> }')
     assert [t.o for t in q.patterns] == ['"a . b \\" }"@en-GB', "?y", '"5"^^<http://t>'] and q.patterns[1].p == RDF_TYPE
     assert parse("SELECT ?x ?y { ?x <p> ?y.?y <q> <z> . . }").patterns[1] == TriplePattern("?y", "<q>", "<z>")
