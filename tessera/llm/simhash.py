@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import connected_components, cut, only, ship, small
@@ -39,7 +39,9 @@ NEAR_SHINGLE, SIMILARITY = 5, 0.8
 #: MinHash bands and rows: a pair at SIMILARITY shares no band with probability (1 - 0.8 ** 4) ** 32, about 5e-8.
 BANDS, ROWS = 32, 4
 #: Documents and shingles of a candidate group that one task compares before the group is dealt in blocks.
-NEAR_BLOCK, NEAR_SHINGLES = 64, 1_000_000
+NEAR_BLOCK, NEAR_SHINGLES = 512, 1_000_000
+#: Shingles that a task's incidence matrix has at once.
+COLUMNS = 4_096
 
 
 def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -267,49 +269,89 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, banded: bool) -> DataFram
 
 
 def set_links(keys: np.ndarray, sets: list[np.ndarray], least: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) that span the components of sets under Jaccard >= least, by exact intersections of all pairs."""
+    """Links (a, b) that span the components of sets under Jaccard >= least, by exact intersections of all pairs.
+
+    The intersections are a product of the sets' incidence matrix with itself, some columns at a time; shingles of a
+    single set can't be in one and have no column.
+    """
     sizes = np.array([len(x) for x in sets], np.int64)
-    _, terms = np.unique(np.concatenate(sets), return_inverse=True)
-    owner, starts = np.repeat(np.arange(len(sets)), sizes), np.concatenate([[0], np.cumsum(sizes)])
-    label, mark = np.arange(len(sets)), np.zeros(len(terms), bool)
+    _, terms, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[terms]
+    owner, column = np.repeat(np.arange(len(sets)), sizes)[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float64)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, [first, first + COLUMNS])
+        held = np.zeros((len(sets), min(COLUMNS, int(column[-1]) + 1 - first)), np.float32)
+        held[owner[lo:hi], column[lo:hi] - first] = 1
+        both += held @ held.T
+    near = both >= least * (sizes[:, None] + sizes - both) - 1e-9
+    label = np.arange(len(sets))
     for k in range(len(sets)):
-        mark[:] = False
-        mark[terms[starts[k] : starts[k + 1]]] = True
-        both = np.bincount(owner[mark[terms]], minlength=len(sets))
-        near = both >= least * (sizes + sizes[k] - both) - 1e-9
-        near[k] = True
-        met = np.unique(label[near])
-        label[np.isin(label, met)] = met[0]
+        met = np.unique(label[near[k]])
+        if len(met) > 1:
+            label[np.isin(label, met)] = met[0]
     other = label != np.arange(len(sets))
     return keys[other], keys[label[other]]
 
 
+def _compared(docs: DataFrame, dealt: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links (root, a, b) among the sets that dealt(fp, root, first, i, j) brings together: a task for each (root, i, j)."""
+    # one document for each set, as far as ids tell documents apart
+    chosen = small(dealt.select(F.col("first").alias("__chosen")).distinct())
+    texts = only(docs, id_col, text_col).join(chosen, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__chosen")), "left_semi")
+    sets = _sets(texts, id_col, text_col, False).select("fp", "hashes").join(dealt.drop("first"), "fp")
+
+    def links(table: pa.Table) -> pa.Table:
+        held = dict(zip(table.column("fp").to_pylist(), table.column("hashes").to_pylist()))
+        a, b = set_links(np.array(list(held), np.int64), [np.frombuffer(x, "<u8") for x in held.values()])
+        return pa.table({"root": pa.array([table.column("root")[0].as_py()] * len(a), pa.int64()), "a": pa.array(a), "b": pa.array(b)})
+
+    return sets.select("root", "i", "j", "fp", "hashes").groupBy("root", "i", "j").applyInArrow(links, "root long, a long, b long")
+
+
+def _blocks(block: int) -> Column:
+    return F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / NEAR_SHINGLES)).cast("int")
+
+
+def _block_of(n: str) -> Column:
+    return F.pmod(F.xxhash64("fp"), F.greatest(F.col(n), F.lit(1))).cast("int")
+
+
 def similar_links(docs: DataFrame, rows: DataFrame, firsts: DataFrame, id_col: str, text_col: str, block: int = NEAR_BLOCK) -> DataFrame:
     """Links (a, b) between sets (fp) that give the same components as all pairs with Jaccard >= SIMILARITY.
 
-    Sets that share a band are candidates; within each component of candidates all pairs are compared exactly. A
-    component of more than `block` documents is dealt into blocks, and each pair of blocks is a task of its own.
+    Sets that share a band are candidates; the pairs of each component of candidates are compared exactly. A component of
+    more than `block` documents is dealt into blocks by hash, and has two passes. The first holds every block against
+    itself and one of them, which links nearly all of a group of near copies in linear time. Then only pairs can add
+    anything that aren't both in the largest part linked so far: the second pass holds all other members against each
+    other and against that part, a task for each pair of blocks.
     """
     bands = cut(rows.select("fp", F.explode("bands").alias("band")).distinct())
     shared = bands.groupBy("band").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "least")
     edges = bands.join(shared, "band").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
     groups = cut(connected_components(edges).withColumnRenamed("node", "fp").join(firsts, "fp"))
-    count = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / NEAR_SHINGLES)).cast("int")
-    dealt = groups.join(small(groups.groupBy("root").agg(count.alias("n")).where("n > 1")), "root", "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    dealt = small(dealt.select("fp", "root", "n", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int").alias("k")))
-    # one document for each set, as far as ids tell documents apart
-    chosen = small(groups.select(F.col("first").alias("__chosen")).distinct())
-    texts = only(docs, id_col, text_col).join(chosen, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__chosen")), "left_semi")
-    sets = _sets(texts, id_col, text_col, False).select("fp", "hashes").join(dealt, "fp")
-    sets = sets.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    sets = sets.select("root", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "fp", "hashes")
-
-    def links(table: pa.Table) -> pa.Table:
-        held = dict(zip(table.column("fp").to_pylist(), table.column("hashes").to_pylist()))
-        a, b = set_links(np.array(list(held), np.int64), [np.frombuffer(x, "<u8") for x in held.values()])
-        return pa.table({"a": pa.array(a), "b": pa.array(b)})
-
-    return sets.groupBy("root", "i", "j").applyInArrow(links, "a long, b long")
+    large = small(groups.groupBy("root").agg(_blocks(block).alias("n")).where("n > 1"))
+    dealt = groups.join(large, "root", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("k", _block_of("n"))
+    meets = F.when(F.col("n") == 1, F.array(F.lit(0))).when(F.col("k") == 0, F.sequence(F.lit(1), F.greatest(F.col("n") - 1, F.lit(1))))
+    met = dealt.select("fp", "root", "first", F.lit(0).alias("i"), F.explode(F.coalesce(meets, F.array("k"))).alias("j"))
+    found = _compared(docs, small(met), id_col, text_col)
+    if large.isEmpty():
+        return found.select("a", "b")
+    found = cut(found)
+    part = connected_components(found.join(large, "root", "left_semi").select("a", "b")).select(F.col("node").alias("fp"), F.col("root").alias("part"))
+    members = cut(groups.join(large, "root", "left_semi").join(part, "fp", "left").withColumn("part", F.coalesce("part", "fp")))
+    parts = members.groupBy("root", "part").agg(F.count("*").alias("c"))
+    main = parts.groupBy("root").agg(F.max(F.struct("c", "part")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
+    left = members.join(main.select("root", F.col("m.part").alias("main")), "root").withColumn("rest", F.col("part") != F.col("main"))
+    sizes = left.groupBy("root", "rest").agg(_blocks(block).alias("n")).groupBy("root")
+    sizes = small(sizes.agg(F.max(F.when(F.col("rest"), F.col("n"))).alias("others"), F.max(F.when(~F.col("rest"), F.col("n"))).alias("mains")))
+    left = left.join(sizes, "root").withColumn("k", F.when(F.col("rest"), _block_of("others")).otherwise(F.col("others") + _block_of("mains")))
+    meets = F.sequence(F.lit(0), F.when(F.col("rest"), F.col("others") + F.col("mains") - 1).otherwise(F.col("others") - 1))
+    met = left.select("fp", "root", "first", "k", F.explode(meets).alias("o"))
+    met = met.select("fp", "root", "first", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"))
+    return found.unionByName(_compared(docs, small(met), id_col, text_col)).select("a", "b")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -322,7 +364,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return _firsts_only(docs, found, id_col, text_col, lambda some: fingerprints(some, id_col, text_col))
 
 
-def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = NEAR_BLOCK) -> DataFrame:
     """As keep_one, by the similarity of texts and not by bits of fingerprints.
 
     Near-duplicates have sets of 5-word shingles with Jaccard >= 0.8, a text of fewer words being one shingle; groups are
@@ -331,7 +373,7 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     rows = cut(_sets(only(docs, id_col, text_col), id_col, text_col, True))
     firsts = cut(rows.groupBy("fp").agg(F.min("id").alias("first"), F.max("size").alias("size")))
-    links = similar_links(docs, rows, firsts, id_col, text_col)
+    links = similar_links(docs, rows, firsts, id_col, text_col, block)
     found = labelled(rows.select("id", "fp"), firsts.select("fp", "first"), links)
     return _firsts_only(docs, found, id_col, text_col, lambda some: _sets(some, id_col, text_col, False).select("id", "fp"))
 
