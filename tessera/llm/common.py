@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -50,6 +51,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints that nothing refers to any more; it does so only once the
+    driver's garbage is collected, which a driver with memory to spare may not do before the disks are full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Rows of a narrow table (ids, hosts) up to which it is broadcast. They are counted; larger ones are joined by shuffles.
 BROADCAST_ROWS = 500_000
 

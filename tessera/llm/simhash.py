@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, cut, only, ship, small
+from tessera.llm.common import connected_components, cut, only, ship, small, tidy
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -56,7 +56,11 @@ def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """Unsigned 64-bit SimHash of a UTF-8 text."""
-    h = shingle_hashes(text, shingle)
+    return hashes_fingerprint(shingle_hashes(text, shingle))
+
+
+def hashes_fingerprint(h: np.ndarray) -> int:
+    """Unsigned 64-bit SimHash of shingle hashes: the bits that are 1 in over half of them."""
     if not len(h):
         return 0
     ones = np.zeros(64, np.int64)
@@ -246,26 +250,31 @@ def min_bands(h: np.ndarray) -> list[int]:
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, banded: bool) -> DataFrame:
-    """(id, fp, size, and bands or the set) for every row: fp is the hash of the text's set of 5-word shingles."""
+    """(id, fp, size, and fingerprint and bands, or the set) for every row: fp is the hash of the text's set of 5-word
+    shingles, fingerprint the SimHash of that set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                part, keys, sizes, more, seen = batch.slice(at, 512), [], [], [], {}
+                part, keys, sizes, prints, more, seen = batch.slice(at, 512), [], [], [], [], {}
                 for text in part.column(1).cast(pa.binary()):
                     h = np.unique(shingle_hashes(text.as_py() or b"", NEAR_SHINGLE))
                     keys.append(key := xxhash.xxh3_64_intdigest(h.tobytes()))
                     sizes.append(len(h))
                     if banded and key not in seen:
-                        seen[key] = np.array(min_bands(h), np.uint64).view(np.int64)
-                    more.append(seen[key] if banded else h.tobytes())
+                        seen[key] = hashes_fingerprint(h), np.array(min_bands(h), np.uint64).view(np.int64)
+                    if banded:
+                        prints.append(seen[key][0])
+                    more.append(seen[key][1] if banded else h.tobytes())
                 columns = [part.column(0), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int64())]
+                if banded:
+                    columns.append(pa.array(np.array(prints, np.uint64).view(np.int64)))
                 columns.append(pa.array(more, pa.list_(pa.int64()) if banded else pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "size", "bands" if banded else "hashes"])
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "size", *(("fingerprint", "bands") if banded else ("hashes",))])
 
     ship(docs.sparkSession)
     pair = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    return pair.mapInArrow(run, "id long, fp long, size long, " + ("bands array<long>" if banded else "hashes binary"))
+    return pair.mapInArrow(run, "id long, fp long, size long, " + ("fingerprint long, bands array<long>" if banded else "hashes binary"))
 
 
 def set_links(keys: np.ndarray, sets: list[np.ndarray], least: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
@@ -319,19 +328,35 @@ def _block_of(n: str) -> Column:
     return F.pmod(F.xxhash64("fp"), F.greatest(F.col(n), F.lit(1))).cast("int")
 
 
-def similar_links(docs: DataFrame, rows: DataFrame, firsts: DataFrame, id_col: str, text_col: str, block: int = NEAR_BLOCK) -> DataFrame:
+def tree_edges(firsts: DataFrame, radius: int = MAX_BITS) -> DataFrame:
+    """Edges (a, b) between sets of firsts(fp, fingerprint) that join all whose fingerprints the vantage-point tree links."""
+    prints = cut(firsts.groupBy("fingerprint").agg(F.min("fp").alias("least")))
+    links = close_links(prints.select(F.col("fingerprint").alias("fp")), radius)
+    one, other = (prints.select(F.col("fingerprint").alias(x), F.col("least").alias(f"least_{x}")) for x in "ab")
+    between = links.join(one, "a").join(other, "b").select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
+    return between.unionByName(firsts.join(prints, "fingerprint").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")))
+
+
+def band_edges(firsts: DataFrame) -> DataFrame:
+    """Edges (a, b) between sets of firsts(fp, bands) that join all that share a band."""
+    bands = firsts.select("fp", F.explode("bands").alias("band"))
+    shared = small(bands.groupBy("band").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least <> most").select("band", "least"))
+    return bands.join(shared, "band").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+
+
+def similar_links(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str, block: int = NEAR_BLOCK) -> DataFrame:
     """Links (a, b) between sets (fp) that give the same components as all pairs with Jaccard >= SIMILARITY.
 
-    Sets that share a band are candidates; the pairs of each component of candidates are compared exactly. A component of
-    more than `block` documents is dealt into blocks by hash, and has two passes. The first holds every block against
+    Candidates are sets whose SimHash fingerprints the vantage-point tree links within MAX_BITS, and, as similarity 0.8
+    reaches beyond those bits, sets that share a MinHash band; the pairs of each component of candidates are compared
+    exactly. A component of more than `block` documents is dealt into blocks by hash, and has two passes. The first holds every block against
     itself and one of them, which links nearly all of a group of near copies in linear time. Then only pairs can add
     anything that aren't both in the largest part linked so far: the second pass holds all other members against each
     other and against that part, a task for each pair of blocks.
     """
-    bands = cut(rows.select("fp", F.explode("bands").alias("band")).distinct())
-    shared = bands.groupBy("band").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "least")
-    edges = bands.join(shared, "band").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
-    groups = cut(connected_components(edges).withColumnRenamed("node", "fp").join(firsts, "fp"))
+    edges = tree_edges(firsts).unionByName(band_edges(firsts))
+    groups = cut(connected_components(edges).withColumnRenamed("node", "fp").join(firsts.select("fp", "first", "size"), "fp"))
+    tidy(docs.sparkSession)
     large = small(groups.groupBy("root").agg(_blocks(block).alias("n")).where("n > 1"))
     dealt = groups.join(large, "root", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("k", _block_of("n"))
     meets = F.when(F.col("n") == 1, F.array(F.lit(0))).when(F.col("k") == 0, F.sequence(F.lit(1), F.greatest(F.col("n") - 1, F.lit(1))))
@@ -340,6 +365,7 @@ def similar_links(docs: DataFrame, rows: DataFrame, firsts: DataFrame, id_col: s
     if large.isEmpty():
         return found.select("a", "b")
     found = cut(found)
+    tidy(docs.sparkSession)
     part = connected_components(found.join(large, "root", "left_semi").select("a", "b")).select(F.col("node").alias("fp"), F.col("root").alias("part"))
     members = cut(groups.join(large, "root", "left_semi").join(part, "fp", "left").withColumn("part", F.coalesce("part", "fp")))
     parts = members.groupBy("root", "part").agg(F.count("*").alias("c"))
@@ -368,13 +394,18 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """As keep_one, by the similarity of texts and not by bits of fingerprints.
 
     Near-duplicates have sets of 5-word shingles with Jaccard >= 0.8, a text of fewer words being one shingle; groups are
-    the components of such pairs. Texts without words are copies of each other. Candidates come from MinHash bands, as
-    the bit radius that 0.8 would need (about 16 of 64) leaves a vantage-point tree nothing to prune.
+    the components of such pairs. Texts without words are copies of each other. Candidates come from the vantage-point
+    tree over SimHash fingerprints and, beyond its radius, from MinHash bands: the radius that 0.8 would need (about 16 of
+    64 bits) leaves a vantage-point tree nothing to prune.
     """
     rows = cut(_sets(only(docs, id_col, text_col), id_col, text_col, True))
-    firsts = cut(rows.groupBy("fp").agg(F.min("id").alias("first"), F.max("size").alias("size")))
-    links = similar_links(docs, rows, firsts, id_col, text_col, block)
-    found = labelled(rows.select("id", "fp"), firsts.select("fp", "first"), links)
+    same = [F.min("id").alias("first"), F.max("size").alias("size"), F.min("fingerprint").alias("fingerprint"), F.first("bands").alias("bands")]
+    firsts = cut(rows.groupBy("fp").agg(*same))
+    rows = rows.select("id", "fp")
+    tidy(docs.sparkSession)
+    links = cut(similar_links(docs, firsts, id_col, text_col, block))
+    tidy(docs.sparkSession)
+    found = labelled(rows, firsts.select("fp", "first"), links)
     return _firsts_only(docs, found, id_col, text_col, lambda some: _sets(some, id_col, text_col, False).select("id", "fp"))
 
 

@@ -96,3 +96,16 @@ def test_set_links_against_brute_force():
             old, new = sorted((got[a], got[b]), reverse=True)
             got = [new if x == old else x for x in got]
         assert got == want
+
+
+def test_near_stage_takes_the_trees_links(spark, monkeypatch):
+    """The vantage-point tree over SimHash fingerprints finds near copies that no band gives, and they are compared."""
+    import corpus_pipeline
+
+    base = [f"w{k}" for k in range(2000)]
+    texts = {1: " ".join(base), 2: " ".join([*base[:-1], "x"]), 3: " ".join(f"v{k}" for k in range(90)), 4: "w1 w2"}
+    prints = [simhash.hashes_fingerprint(np.unique(simhash.shingle_hashes(texts[i].encode(), 5))) for i in (1, 2)]
+    assert (prints[0] ^ prints[1]).bit_count() <= simhash.MAX_BITS
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(simhash, "band_edges", lambda firsts: firsts.select("fp", "fp").toDF("a", "b").limit(0))
+    assert {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "").collect()} == {1, 3, 4}
