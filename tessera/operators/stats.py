@@ -51,6 +51,15 @@ def table_stats(placed: DataFrame) -> DataFrame:
     return placed.groupBy("part_id", "p").agg(F.count("*").alias("rows"), *distinct)
 
 
+def set_stats(held: DataFrame) -> DataFrame:
+    """table_stats of triples (s, p, o, part_ids) that are there once: sketches of distinct terms are merged by partition."""
+    sketches = [F.hll_sketch_agg(c).alias(n) for c, n in (("s", "subjects"), ("o", "objects"))]
+    by_set = held.groupBy("part_ids", "p").agg(F.count("*").alias("rows"), *sketches)
+    each = by_set.withColumn("part_id", F.explode(F.split("part_ids", "-").cast("array<int>"))).groupBy("part_id", "p")
+    merged = [F.hll_sketch_estimate(F.hll_union_agg(n)).alias(n) for n in ("subjects", "objects")]
+    return each.agg(F.sum("rows").alias("rows"), *merged)
+
+
 def partition_stats(placed: DataFrame) -> DataFrame:
     return placed.groupBy("part_id").agg(F.count("*").alias("rows"))
 

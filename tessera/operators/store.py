@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +12,16 @@ from pyspark.sql.utils import AnalysisException
 
 from tessera.functions.terms import RDF_TYPE, is_literal
 from tessera.operators.graph import instance_types
-from tessera.operators.lineage import cut
-from tessera.operators.stats import table_stats
+from tessera.operators.keyed import KeyedGraph
+from tessera.operators.lineage import cut, tidy
+from tessera.operators.stats import set_stats
 
 #: Rows of the class index up to which it is broadcast; beyond, it is joined like any table.
 BROADCAST_ROWS = 100_000
+#: Terms are written as differences from the term before, compressed: sorted terms share most of their characters.
+FORMAT = {"parquet.writer.version": "PARQUET_2_0", "compression": "zstd"}
+#: Files that a task writes at once, so that rows needn't be sorted by folder first.
+OPEN_FILES = 64
 
 
 def _small(index: DataFrame) -> DataFrame:
@@ -28,7 +35,17 @@ def node_partitions(triples: DataFrame, class_index: DataFrame) -> DataFrame:
 
 
 def place(triples: DataFrame, class_index: DataFrame, residual: int) -> DataFrame:
-    """(s, p, o, part_id), a set if triples are one.
+    """(s, p, o, part_id), a set if triples are one: place_sets, with a row for each partition of a triple."""
+    return spread(place_sets(triples, class_index, residual))
+
+
+def spread(sets: DataFrame) -> DataFrame:
+    """(s, p, o, part_id) of (s, p, o, part_ids)."""
+    return sets.select("s", "p", "o", F.explode(F.split("part_ids", "-").cast("array<int>")).alias("part_id"))
+
+
+def place_sets(triples: DataFrame, class_index: DataFrame, residual: int) -> DataFrame:
+    """(s, p, o, part_ids): a row for each triple, with its partitions in order, joined by '-'.
 
     An edge goes to every partition of either end, a literal and a type to every partition of the subject. What has
     no partition that way (untyped nodes) goes to the residual one, so no triple is lost. Every triple that touches an
@@ -46,7 +63,7 @@ def place(triples: DataFrame, class_index: DataFrame, residual: int) -> DataFram
     rest = own.where(~is_edge).join(subject, "s", "left")
     placed = edges.select("s", "p", "o", both.alias("parts")).unionByName(rest.select("s", "p", "o", F.coalesce("parts_s", none).alias("parts")))
     parts = F.when(F.size("parts") > 0, F.col("parts")).otherwise(F.array(F.lit(residual)))
-    return placed.select("s", "p", "o", F.explode(parts).alias("part_id"))
+    return placed.select("s", "p", "o", F.array_join(F.array_sort(parts), "-").alias("part_ids"))
 
 
 def node_index(triples: DataFrame) -> DataFrame:
@@ -70,6 +87,21 @@ def vertical_index_text(index: DataFrame) -> DataFrame:
     return index.groupBy("part_id", "uri").agg(preds.alias("preds"))
 
 
+def vertical_marks(sets: DataFrame) -> DataFrame:
+    """(uri, marks array<struct<part_id, role, p>>): the vertical index of place_sets' rows, with a row for each node."""
+    ends = F.array(F.struct(F.col("s").alias("uri"), F.lit("s").alias("role")), F.when(~is_literal(F.col("o")), F.struct(F.col("o").alias("uri"), F.lit("o").alias("role"))))
+    each = sets.select(F.explode(ends).alias("e"), "p", "part_ids").where("e is not null").select("e.*", "p", "part_ids").distinct()
+    each = each.select("uri", "role", "p", F.explode(F.split("part_ids", "-").cast("array<int>")).alias("part_id"))
+    return each.groupBy("uri").agg(F.collect_set(F.struct("part_id", "role", "p")).alias("marks"))
+
+
+def marks_text(marks: DataFrame) -> DataFrame:
+    """(part_id, uri, preds): vertical_index_text of the index with a row for each node, without gathering rows."""
+    each = marks.select("uri", "marks", F.explode(F.array_distinct(F.transform("marks", lambda m: m["part_id"]))).alias("part_id"))
+    own = F.transform(F.filter("marks", lambda m: m["part_id"] == F.col("part_id")), lambda m: F.concat(m["role"], m["p"]))
+    return each.select("part_id", "uri", F.array_join(F.array_sort(own), ",").alias("preds"))
+
+
 def replication(placed: DataFrame, triples: DataFrame) -> DataFrame:
     """One row: (stored, distinct_triples, replication_factor)."""
     stored = placed.agg(F.count("*").alias("stored"))
@@ -79,7 +111,11 @@ def replication(placed: DataFrame, triples: DataFrame) -> DataFrame:
 
 @dataclass
 class Store:
-    """A written store: folders placed (by part_id and p), class_index, node_index, vertical_index, stats."""
+    """A written store: folders placed (by part_ids and p), class_index, node_index, vertical_index, stats.
+
+    Partitions that hold the same triples share their files: part_ids names all partitions of a folder's triples, and a
+    partition is the folders that name it. So a triple is written once, however many partitions have it.
+    """
 
     spark: SparkSession
     path: str
@@ -89,7 +125,17 @@ class Store:
 
     @property
     def placed(self) -> DataFrame:
-        return self.spark.read.schema("s string, o string, part_id int, p string").parquet(f"{self.path}/placed").select("s", "p", "o", "part_id")
+        """(s, p, o, part_id): every partition's triples."""
+        return spread(self.held)
+
+    @property
+    def held(self) -> DataFrame:
+        """(s, p, o, part_ids): every triple once."""
+        return self.spark.read.schema("s string, o string, part_ids string, p string").parquet(f"{self.path}/placed").select("s", "p", "o", "part_ids")
+
+    def partition(self, part: int) -> DataFrame:
+        """held, of the folders of one partition alone."""
+        return self.held.where(F.array_contains(F.split("part_ids", "-"), str(part)))
 
     @property
     def class_index(self) -> DataFrame:
@@ -100,9 +146,15 @@ class Store:
         return self._read("node_index")
 
     @property
-    def vertical_index(self) -> DataFrame:
+    def vertical_marks(self) -> DataFrame:
+        """(uri, marks): a row for each node."""
         return self._read("vertical_index")
 
+    @property
+    def vertical_index(self) -> DataFrame:
+        """(part_id, uri, role, p)."""
+        return self.vertical_marks.select("uri", F.explode("marks").alias("m")).select("m.part_id", "uri", "m.role", "m.p")
+
     @property
     def stats(self) -> DataFrame:
         """(part_id, p, rows, subjects, objects)."""
@@ -116,20 +168,50 @@ class Store:
             return False
 
 
+@contextmanager
+def _unsorted_writes(spark: SparkSession):
+    """Tasks write their folders side by side, so rows keep their order and aren't sorted by folder."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(OPEN_FILES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def write_store(spark: SparkSession, path: str, triples: DataFrame, class_index: DataFrame, residual: int) -> Store:
     """Writes a store unless a complete one is there.
 
-    One job writes all vertical partitions: rows are rebalanced by partition and predicate, so that Spark splits large
+    One job writes all vertical partitions: rows are rebalanced by partitions and predicate, so that Spark splits large
     tables over several files and gathers small ones, and files are sorted by subject so that row groups can be skipped.
     """
     store = Store(spark, path)
     if store.exists():
         return store
-    placed = place(triples, class_index, residual).hint("rebalance", "part_id", "p").sortWithinPartitions("part_id", "p", "s", "o")
-    placed.write.mode("overwrite").partitionBy("part_id", "p").parquet(f"{path}/placed")
-    class_index.write.mode("overwrite").parquet(f"{path}/class_index")
-    node_index(triples).repartitionByRange("uri").sortWithinPartitions("uri").write.mode("overwrite").parquet(f"{path}/node_index")
-    vertical_index(store.placed).repartitionByRange("uri").sortWithinPartitions("uri").write.mode("overwrite").parquet(f"{path}/vertical_index")
-    table_stats(store.placed).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
-    store.stats.groupBy("part_id").agg(F.sum("rows").alias("rows")).write.mode("overwrite").parquet(f"{path}/complete")
+    placed = place_sets(triples, class_index, residual).hint("rebalance", "part_ids", "p").sortWithinPartitions("part_ids", "p", "s", "o")
+    return _write(store, class_index, placed, lambda: vertical_marks(store.held).repartitionByRange("uri").sortWithinPartitions("uri"))
+
+
+def write_keyed(spark: SparkSession, path: str, own: KeyedGraph, class_index: DataFrame, residual: int) -> Store:
+    """write_store of a virtual graph from its raw keys: triples go from its tables' rows straight to their files."""
+    store = Store(spark, path)
+    if store.exists():
+        return store
+    with _unsorted_writes(spark):
+        return _write(store, class_index, own.place(class_index, residual), lambda: own.vertical_marks(class_index, residual))
+
+
+def _write(store: Store, class_index: DataFrame, placed: DataFrame, marks: Callable[[], DataFrame]) -> Store:
+    spark, path = store.spark, store.path
+    write = lambda df, name, *folders: df.write.mode("overwrite").options(**FORMAT).partitionBy(*folders).parquet(f"{path}/{name}")
+    write(placed, "placed", "part_ids", "p")
+    del placed
+    tidy(spark)
+    write(class_index, "class_index")
+    write(node_index(store.held).sortWithinPartitions("uri"), "node_index")
+    write(marks(), "vertical_index")
+    tidy(spark)
+    write(set_stats(store.held).coalesce(1), "stats")
+    write(store.stats.groupBy("part_id").agg(F.sum("rows").alias("rows")), "complete")
     return store

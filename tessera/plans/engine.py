@@ -87,16 +87,15 @@ class Engine:
 
     def source(self, pattern: TriplePattern, part: int | None) -> DataFrame:
         """The triples to scan: one partition, and of it the vertical partitions that matter. Without a partition all
-        are read, and replicas folded."""
-        df = self.store.placed
+        are read; a triple is there once."""
+        df = self.store.held if part is None else self.store.partition(part)
         if not is_variable(pattern.p):
             df = df.where(F.col("p") == pattern.p)
         if part is None:
             for place, value in (("s", pattern.s), ("o", pattern.o)):
                 if not is_variable(value):
                     df = df.where(F.col(place) == value)
-            return df.select("s", "p", "o").distinct()
-        df = df.where(F.col("part_id") == part)
+            return df.select("s", "p", "o")
         names = self.pruned_predicates(pattern, part)
         if names is not None:
             df = df.where(F.col("p").isin(names) if names else F.lit(False))
