@@ -5,6 +5,7 @@ A source gives Bound tables: over the virtual graph with raw keys, over triples
 
 from __future__ import annotations
 
+from collections.abc import Callable, Collection
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -189,9 +190,11 @@ def _estimate(graph: RelationalGraph, t: TriplePattern, ms: list[Mapping], bound
     return Part(max(rows, 1.0), distinct)
 
 
-def evaluate_relational(graph: RelationalGraph, query: BGPQuery) -> DataFrame:
-    viable = viable_mappings(graph, query.patterns)
-    items = list(zip(query.patterns, viable))
+def evaluate_items(
+    graph: RelationalGraph, query: BGPQuery, items: list[tuple[TriplePattern, list[Mapping]]], estimate: Callable[[int, Bound], Part], narrow: Collection[int] = ()
+) -> DataFrame:
+    """Solutions of patterns with their mappings. estimate: rows and distinct terms of the k-th pattern; narrow: patterns
+    with so few rows that they are broadcast."""
     groups: list[list[int]] = []
     for k, item in enumerate(items):
         home = next((g for g in groups if all(_fusable(items[j], item) for j in g)), None)
@@ -202,12 +205,19 @@ def evaluate_relational(graph: RelationalGraph, query: BGPQuery) -> DataFrame:
             bound = _scan_union(graph, *items[g[0]])
         else:
             bound = _scan_star(graph, [items[k][0] for k in g], [items[k][1][0] for k in g])
-        own = [_estimate(graph, *items[k], bound) for k in g]
+        if any(k in narrow for k in g):
+            bound = Bound(F.broadcast(bound.df), bound.terms)
+        own = [estimate(k, bound) for k in g]
         rows = min(p.rows for p in own)
-        parts.append((Part(rows, {v: min(rows, *(p.distinct[v] for p in own)) for v in bound.terms}), bound))
+        parts.append((Part(rows, {v: min(rows, *(p.distinct.get(v, rows) for p in own)) for v in bound.terms}), bound))
     return project(join_all(parts), query.projected)
 
 
+def evaluate_relational(graph: RelationalGraph, query: BGPQuery) -> DataFrame:
+    items = list(zip(query.patterns, viable_mappings(graph, query.patterns)))
+    return evaluate_items(graph, query, items, lambda k, bound: _estimate(graph, *items[k], bound))
+
+
 def evaluate_triples(triples: DataFrame, query: BGPQuery, rows: dict[str, float] | None = None) -> DataFrame:
     """Over (s, p, o). rows: row counts by predicate, for the join order."""
     rows = rows or {}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from contextlib import contextmanager
-from dataclasses import dataclass
+import json
+from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,15 +13,14 @@ from pyspark.sql.utils import AnalysisException
 from tessera.functions.terms import RDF_TYPE, is_literal
 from tessera.operators.graph import instance_types
 from tessera.operators.keyed import KeyedGraph
-from tessera.operators.lineage import cut, tidy
+from tessera.operators.lineage import cut, exists, tidy
 from tessera.operators.stats import set_stats
+from tessera.operators.wide import WideGraph, from_rows, tables_of, to_rows
 
 #: Rows of the class index up to which it is broadcast; beyond, it is joined like any table.
 BROADCAST_ROWS = 100_000
 #: Terms are written as differences from the term before, compressed: sorted terms share most of their characters.
 FORMAT = {"parquet.writer.version": "PARQUET_2_0", "compression": "zstd"}
-#: Files that a task writes at once, so that rows needn't be sorted by folder first.
-OPEN_FILES = 64
 
 
 def _small(index: DataFrame) -> DataFrame:
@@ -111,10 +110,12 @@ def replication(placed: DataFrame, triples: DataFrame) -> DataFrame:
 
 @dataclass
 class Store:
-    """A written store: folders placed (by part_ids and p), class_index, node_index, vertical_index, stats.
+    """A written store: folders placed, class_index, node_index, vertical_index, stats.
 
-    Partitions that hold the same triples share their files: part_ids names all partitions of a folder's triples, and a
-    partition is the folders that name it. So a triple is written once, however many partitions have it.
+    Triples are placed by part_ids and p: partitions that hold the same triples share their files, part_ids names all
+    partitions of a folder's triples, and a partition is the folders that name it. So a triple is written once, however many
+    partitions have it. Those of a virtual graph are placed as tables by class (`wide`), which the folder `layout` describes;
+    their node index is the tables' keys.
     """
 
     spark: SparkSession
@@ -123,6 +124,13 @@ class Store:
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
+    @cached_property
+    def graph(self) -> WideGraph | None:
+        """The tables by class, if the store has such."""
+        if not exists(self.spark, f"{self.path}/layout/_SUCCESS"):
+            return None
+        return WideGraph(self.spark, self.path, from_rows(json.loads(self._read("layout").first()[0])))
+
     @property
     def placed(self) -> DataFrame:
         """(s, p, o, part_id): every partition's triples."""
@@ -131,6 +139,8 @@ class Store:
     @property
     def held(self) -> DataFrame:
         """(s, p, o, part_ids): every triple once."""
+        if self.graph:
+            return self.graph.held()
         return self.spark.read.schema("s string, o string, part_ids string, p string").parquet(f"{self.path}/placed").select("s", "p", "o", "part_ids")
 
     def partition(self, part: int) -> DataFrame:
@@ -143,18 +153,33 @@ class Store:
 
     @property
     def node_index(self) -> DataFrame:
-        return self._read("node_index")
+        return self.graph.node_index() if self.graph else self._read("node_index")
+
+    def classes_of(self, terms: list[str]) -> dict[str, set[str]]:
+        """The classes of some nodes."""
+        if self.graph:
+            return self.graph.classes_of(terms)
+        out: dict[str, set[str]] = {}
+        for r in self.node_index.where(F.col("uri").isin(terms)).collect():
+            out.setdefault(r.uri, set()).add(r["class"])
+        return out
 
     @property
     def vertical_marks(self) -> DataFrame:
         """(uri, marks): a row for each node."""
-        return self._read("vertical_index")
+        return self.graph.marks() if self.graph else self._read("vertical_index")
 
     @property
     def vertical_index(self) -> DataFrame:
         """(part_id, uri, role, p)."""
         return self.vertical_marks.select("uri", F.explode("marks").alias("m")).select("m.part_id", "uri", "m.role", "m.p")
 
+    def predicates_of(self, term: str, role: str, part: int) -> list[str]:
+        """The predicates that the vertical index has for a node in a role, in one partition."""
+        marks = self.graph.marks(term) if self.graph else self.vertical_marks.where(F.col("uri") == term)
+        own = marks.select(F.explode("marks").alias("m")).select("m.*").where((F.col("role") == role) & (F.col("part_id") == part))
+        return sorted(r.p for r in own.select("p").distinct().collect())
+
     @property
     def stats(self) -> DataFrame:
         """(part_id, p, rows, subjects, objects)."""
@@ -167,17 +192,8 @@ class Store:
         except AnalysisException:
             return False
 
-
-@contextmanager
-def _unsorted_writes(spark: SparkSession):
-    """Tasks write their folders side by side, so rows keep their order and aren't sorted by folder."""
-    name = "spark.sql.maxConcurrentOutputFileWriters"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, str(OPEN_FILES))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+    def write(self, df: DataFrame, name: str, *folders: str) -> None:
+        df.write.mode("overwrite").options(**FORMAT).partitionBy(*folders).parquet(f"{self.path}/{name}")
 
 
 def write_store(spark: SparkSession, path: str, triples: DataFrame, class_index: DataFrame, residual: int) -> Store:
@@ -190,28 +206,40 @@ def write_store(spark: SparkSession, path: str, triples: DataFrame, class_index:
     if store.exists():
         return store
     placed = place_sets(triples, class_index, residual).hint("rebalance", "part_ids", "p").sortWithinPartitions("part_ids", "p", "s", "o")
-    return _write(store, class_index, placed, lambda: vertical_marks(store.held).repartitionByRange("uri").sortWithinPartitions("uri"))
+    store.write(placed, "placed", "part_ids", "p")
+    del placed
+    tidy(spark)
+    store.write(node_index(store.held).sortWithinPartitions("uri"), "node_index")
+    store.write(vertical_marks(store.held).repartitionByRange("uri").sortWithinPartitions("uri"), "vertical_index")
+    tidy(spark)
+    return _finish(store, class_index, set_stats(store.held))
 
 
 def write_keyed(spark: SparkSession, path: str, own: KeyedGraph, class_index: DataFrame, residual: int) -> Store:
-    """write_store of a virtual graph from its raw keys: triples go from its tables' rows straight to their files."""
+    """write_store of a virtual graph: its nodes go from the tables' rows to a table for each class, which has all triples of
+    a node in one row; the indexes and statistics are read from these tables."""
     store = Store(spark, path)
     if store.exists():
         return store
-    with _unsorted_writes(spark):
-        return _write(store, class_index, own.place(class_index, residual), lambda: own.vertical_marks(class_index, residual))
-
-
-def _write(store: Store, class_index: DataFrame, placed: DataFrame, marks: Callable[[], DataFrame]) -> Store:
-    spark, path = store.spark, store.path
-    write = lambda df, name, *folders: df.write.mode("overwrite").options(**FORMAT).partitionBy(*folders).parquet(f"{path}/{name}")
-    write(placed, "placed", "part_ids", "p")
-    del placed
-    tidy(spark)
-    write(class_index, "class_index")
-    write(node_index(store.held).sortWithinPartitions("uri"), "node_index")
-    write(marks(), "vertical_index")
+    tables = []
+    for n, (table, rows) in enumerate(tables_of(own, class_index, residual)):
+        store.write(rows, f"placed/{n}")
+        tables.append(replace(table, named=store._read(f"placed/{n}").limit(1).count() > 0))
+    del rows
     tidy(spark)
-    write(set_stats(store.held).coalesce(1), "stats")
-    write(store.stats.groupBy("part_id").agg(F.sum("rows").alias("rows")), "complete")
+    store.write(spark.createDataFrame([(json.dumps(to_rows(tables)),)], "layout string").coalesce(1), "layout")
+    store = Store(spark, path)
+    for n in range(len(tables)):
+        keys = store.graph.indexed(n)
+        if keys is not None:
+            store.write(keys.sortWithinPartitions("key"), f"vertical_index/{n}")
+            del keys
+            tidy(spark)
+    return _finish(store, class_index, store.graph.stats())
+
+
+def _finish(store: Store, class_index: DataFrame, stats: DataFrame) -> Store:
+    store.write(class_index, "class_index")
+    store.write(stats.coalesce(1), "stats")
+    store.write(store.stats.groupBy("part_id").agg(F.sum("rows").alias("rows")), "complete")
     return store

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.terms import is_variable, table_name, variable_name
-from tessera.operators.bgp import join_all, project, scan_triples
-from tessera.operators.store import Store
+from tessera.operators.bgp import evaluate_items, join_all, project, scan_triples, viable_mappings
+from tessera.operators.store import BROADCAST_ROWS, Store
 from tessera.plans.order import Part, join_order, spanning_conditions
 from tessera.plans.sparql import BGPQuery, TriplePattern, discovery_terms, parse
 from tessera.sources.ntriples import list_files
@@ -54,9 +54,7 @@ class Engine:
         wanted = sorted(set(terms.values()))
         if not wanted:
             return dict.fromkeys(range(len(query.patterns)))
-        typed: dict[str, set[str]] = {}
-        for r in self.store.node_index.where(F.col("uri").isin(wanted)).collect():
-            typed.setdefault(r.uri, set()).add(r["class"])
+        typed = self.store.classes_of(wanted)
         classes = sorted(set(wanted).union(*typed.values()))
         parts: dict[str, set[int]] = {}
         for r in self.store.class_index.where(F.col("class").isin(classes)).collect():
@@ -79,8 +77,7 @@ class Engine:
             return None
         for term, role in ((pattern.s, "s"), (pattern.o, "o")):
             if term.startswith("<"):
-                own = self.store.vertical_index.where((F.col("uri") == term) & (F.col("role") == role) & (F.col("part_id") == part))
-                return sorted(r.p for r in own.select("p").distinct().collect())
+                return self.store.predicates_of(term, role, part)
         return None
 
     # --- scans ---
@@ -125,12 +122,27 @@ class Engine:
         query = parse(text)
         parts = self.discover(query)
         rows = self.estimates(query, parts)
+        if self.store.graph and not warm:
+            return self.from_tables(query, parts, rows)
         bound = []
         for k, t in enumerate(query.patterns):
             df = self.cached(t, parts[k]) if warm else self.source(t, parts[k])
             bound.append((rows[k], scan_triples(df, t)))
         return project(join_all(bound), query.projected)
 
+    def from_tables(self, query: BGPQuery, parts: dict[int, int | None], rows: list[Part]) -> DataFrame:
+        """solutions from the tables by class: patterns on one subject are a scan, and joins are on raw keys. What the
+        statistics say is narrow is broadcast."""
+        graph, items = self.store.graph, []
+        for k, (t, ms) in enumerate(zip(query.patterns, viable_mappings(graph, query.patterns))):
+            if parts[k] is not None:
+                ms = [x for m in ms if (x := graph.within(m, parts[k]))]
+                names = self.pruned_predicates(t, parts[k])
+                ms = ms if names is None else [m for m in ms if m.predicate in names]
+            items.append((t, ms))
+        narrow = {k for k, t in enumerate(query.patterns) if is_variable(t.s) and is_variable(t.o) and not is_variable(t.p) and rows[k].rows <= BROADCAST_ROWS}
+        return evaluate_items(graph, query, items, lambda k, _: rows[k], narrow)
+
     # --- warm tables ---
 
     def cached(self, pattern: TriplePattern, part: int | None) -> DataFrame:
